@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows of a join side that is sent to every executor at most; larger sides are shuffled.
@@ -75,29 +76,46 @@ def crc_fold(column, modulus: int):
     return F.crc32(column.cast("string").cast("binary")) % modulus
 
 
-def prefix_sums(df: DataFrame, order: list, value: str, out: str, group: str | None = None) -> DataFrame:
-    """Adds `out`: the sum of `value` over all earlier rows of the same group, in the global order (group, *order).
+def prefix_sums(df: DataFrame, order: list, sums: dict[str, str], group: str | None = None) -> DataFrame:
+    """For each value: name of `sums`, adds the sum of the value over all earlier rows of the same group, in the global order (group, *order).
 
-    Rows are range-partitioned by the order, each partition's total per group is
-    added up (a table with one row for each partition and group that meet), and a
-    running sum inside a partition is shifted by what came before.  The
-    range partitioning is written first, so both uses see the same partitions.
-    A group with any share of the rows is spread over many partitions.
+    Rows are range-partitioned by that order, each partition's total per group
+    is added up (one row for each partition and group that meet), and a running
+    sum inside a partition is shifted by what came before.  The range
+    partitioning is written first, so that both uses see the same partitions.  A
+    group with any share of the rows is spread over many partitions.  Rows that
+    tie in the whole order get the same place in some order among themselves.
     """
-    from pyspark.sql import Window as W
-
     spark = df.sparkSession
     keys = ([group] if group else []) + order
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()), "ranges")
+    placed = cut(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "ranges")
     by = ["_part"] + ([group] if group else [])
-    totals = placed.groupBy(*by).agg(F.sum(value).alias("_total"))
-    # one row for each partition and group: a few rows per partition, whatever the number of documents
-    before = F.coalesce(F.sum("_total").over((W.partitionBy(group) if group else W.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select(*by, before.alias("_before"))
+    totals = placed.groupBy(*by).agg(*(F.sum(v).alias(f"_total_{v}") for v in sums))
+    earlier = (W.partitionBy(group) if group else W.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(F.col("_part").alias("_of"), *([F.col(group).alias("_group")] if group else []), *(F.coalesce(F.sum(f"_total_{v}").over(earlier), F.lit(0)).alias(f"_before_{v}") for v in sums))
+    on = F.col("_part") == F.col("_of")
     if group:
-        joined = placed.alias("p").join(small_side(starts).alias("s"), (F.col("p._part") == F.col("s._part")) & F.col(f"p.{group}").eqNullSafe(F.col(f"s.{group}"))).select("p.*", "_before")
-    else:
-        joined = placed.join(small_side(starts), "_part")
-    inside = F.coalesce(F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return joined.withColumn(out, F.col("_before") + inside).drop("_before", "_part")
+        on &= F.col(group).eqNullSafe(F.col("_group"))
+    inside = W.partitionBy(*by).orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
+    run = placed.select("*", *(F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_inside_{v}") for v in sums))
+    joined = run.join(small_side(starts), on)
+    return joined.select(*df.columns, *((F.col(f"_before_{v}") + F.col(f"_inside_{v}")).alias(out) for v, out in sums.items()))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held_out: int, each: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """Texts and labels of `each` rows of label 0 and of 1 at most, and how many labelled rows there are of each in all.
+
+    Only rows whose crc32(doc_id as text) mod `fold` isn't `held_out` are read,
+    none for a null doc_id or label.  Rows are chosen by a hash of doc_id, so a
+    run on the same tables chooses the same ones.  Of a doc_id that is labelled
+    twice the larger label holds.
+    """
+    own = only(labels, doc_id="long", **{label: "int"}).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (crc_fold(F.col("doc_id"), fold) != held_out))
+    own = own.groupBy("doc_id").agg(F.max(label).alias("label"))
+    counts = {r.label: r["count"] for r in own.groupBy("label").count().collect()}
+    order = F.xxhash64(F.lit(3), "doc_id")
+    chosen = own.where("label = 0").orderBy(order, "doc_id").limit(each).union(own.where("label = 1").orderBy(order, "doc_id").limit(each))
+    chosen = F.broadcast(chosen)  # 2 * each rows
+    rows = only(docs, doc_id="long", text="string").join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return list(zip(rows.column("text").to_pylist(), rows.column("label").to_pylist())), counts
