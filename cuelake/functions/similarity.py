@@ -73,13 +73,14 @@ def partial_ratio(a: str, b: str) -> float:
     """Best indel ratio of the shorter text with a window of the longer, 0 to 100."""
     if not a or not b:
         return 100.0 if a == b else 0.0
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    n, best = len(short), 0.0
-    for i in range(-n + 1, len(long)):
-        part = long[max(0, i) : i + n]
-        best = max(best, indel_ratio(short, part))
-        if best == 1.0:
-            break
+    sides = [(a, b)] if len(a) < len(b) else [(b, a)] if len(b) < len(a) else [(a, b), (b, a)]
+    best = 0.0
+    for short, long in sides:
+        n = len(short)
+        for i in range(-n + 1, len(long)):
+            best = max(best, indel_ratio(short, long[max(0, i) : i + n]))
+            if best == 1.0:
+                return 100.0
     return 100 * best
 
 
