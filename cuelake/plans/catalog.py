@@ -544,3 +544,108 @@ def components_overlap(spark, d):
     f = frames(spark, d).withColumn("day", F.floor(F.col("us") / (24 * HOUR)))
     i = f.groupBy("user_id", "event_type", "day").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"))
     return N.merge_intervals(i, ["user_id"], "start_us", "end_us").select("user_id", "start_us", "end_us", F.col("n").alias("members"))
+
+
+@query()
+def run_length_absorb_noise(spark, d):
+    """Runs of event types, where runs of one row belong to what stands before them."""
+    import pandas as pd
+
+    from ..operators.segment import absorb_noise_runs, runs_of
+
+    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["us", "event_id"])
+        runs = absorb_noise_runs(runs_of(list(zip(pdf["us"], pdf["event_type"]))), 1)
+        return pd.DataFrame({"user_id": [key[0]] * len(runs), "run_no": range(1, len(runs) + 1), "event_type": [r[1] for r in runs], "start_us": [r[2] for r in runs], "end_us": [r[3] for r in runs], "n": [r[4] for r in runs]})
+
+    return frames(spark, d).select("user_id", "us", "event_id", "event_type").groupBy("user_id").applyInPandas(fold, "user_id long, run_no int, event_type string, start_us long, end_us long, n long")
+
+
+@query()
+def dedup_overlap_intervals(spark, d):
+    from ..operators.matching import overlapping_duplicates
+
+    e = frames(spark, d)
+    spans = e.select("user_id", "event_id", F.col("us").alias("start_us"), (F.col("us") + F.floor(F.col("value") * 60) * SEC * 10).alias("end_us"), "conf")
+    return overlapping_duplicates(spans, ["user_id"], "event_id", "start_us", "end_us", "conf")
+
+
+@query()
+def greedy_iou_match(spark, d):
+    from ..operators.matching import greedy_match
+
+    f = frames(spark, d)
+    side = lambda gap, p: sessions(f, gap).select("user_id", F.col("session_no").alias(f"{p}_idx"), F.lit("").alias(f"{p}_text"), (F.col("start_us") / SEC).alias(f"{p}_start"), (F.col("end_us") / SEC).alias(f"{p}_end"))
+    return greedy_match(side(6 * HOUR, "r"), side(3 * HOUR, "f"), ["user_id"], 3600.0 * 3, fuzzy=False)
+
+
+@query()
+def rover_consensus(spark, d):
+    """One text for each role of a conversation, voted from the first words of its turns."""
+    import pandas as pd
+
+    from ..operators.consensus import vote
+
+    c = read(spark, d, "conversations").select("conv_id", "role", "turn", F.substring("text", 1, 40).alias("text"), F.least(F.lit(1.0), F.length("text") / 400).alias("conf"))
+
+    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("turn")
+        return pd.DataFrame({"conv_id": [key[0]], "role": [key[1]], "text": [vote(list(zip(pdf["text"], pdf["conf"])))], "readings": [len(pdf)]})
+
+    return c.groupBy("conv_id", "role").applyInPandas(fold, "conv_id long, role string, text string, readings long")
+
+
+@query()
+def coordinate_descent(spark, d):
+    """Session gap (hours) whose mean session size is nearest to four; all gaps of a sweep are one aggregate."""
+    from .search import Axis, descend
+
+    f = frames(spark, d)
+    gaps = f.select((F.col("us") - F.lag("us").over(W.partitionBy("user_id").orderBy("us", "event_id"))).alias("gap")).cache()
+
+    def scores(cands):
+        row = gaps.agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col("gap").isNull() | (F.col("gap") > c["gap"] * HOUR)).cast("long")).alias(f"s{i}") for i, c in enumerate(cands))).first()
+        return [1 / (1 + abs(row["n"] / row[f"s{i}"] - 4)) for i in range(len(cands))]
+
+    best, top, tried = descend([Axis("gap", 0.5, 48.0, 7)], {"gap": 6.0}, scores)
+    gaps.unpersist()
+    return spark.createDataFrame([(best["gap"], round(top, 6), tried)], "gap_hours double, score double, candidates int")
+
+
+@query()
+def build_cues_from_events(spark, d):
+    """The whole cue building on the event stream, one second for a quarter of an hour."""
+    from ..config import CueParams
+    from ..operators.segment import build_cues
+
+    f = frames(spark, d).select(F.col("user_id").cast("string").alias("video_id"), (F.col("us") / (900.0 * SEC)).alias("timestamp_sec"), F.col("event_type").alias("text"), F.greatest(F.lit(0.6), F.col("conf")).alias("confidence"), F.lit(0.0).alias("y"))
+    return build_cues(f, CueParams(least_confidence=0.0, least_duration=0.0, merge_gap=20.0, step=8.0))
+
+
+@query()
+def sentence_split(spark, d):
+    """Words of assistant turns, timed by their length, cut into sentences."""
+    from ..operators.speech import sentences
+
+    c = read(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("pos", "word"))
+    before = F.coalesce(F.sum(F.length("word")).over(W.partitionBy("conv_id", "turn").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    timed = c.withColumn("start", before / 14.0 + F.col("pos") * 0.05).withColumn("end", F.col("start") + F.length("word") / 14.0)
+    return sentences(timed, ["conv_id", "turn"])
+
+
+@query()
+def dub_schedule(spark, d):
+    from ..operators.speech import schedule
+
+    c = cues(spark, d).select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").cast("int").alias("idx"), "start_sec", "end_sec", (F.length("text") / 15.0).alias("spoken_sec"))
+    return schedule(c)
+
+
+@query()
+def flicker_cleanup(spark, d):
+    """Flicker, repeat and echo steps over conversation cues."""
+    from ..config import LIBRARY
+    from ..operators import segment as G
+
+    c = cues(spark, d).select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").cast("int").alias("idx"), F.substring("text", 1, 60).alias("text"), "start_sec", F.least(F.col("end_sec"), F.col("start_sec") + 3.9).alias("end_sec"), F.lit(0.9).alias("confidence"), F.lit(5).alias("frame_count"))
+    return G.fold_cues(c, lambda own, p: G.drop_echoes(G.merge_repeats(G.absorb_flickers(own, p), p), p), LIBRARY)
