@@ -62,14 +62,14 @@ def y_outliers(boxes: DataFrame, roi_height: float | None = None, bin_px: float
     from .aggregates import mad_score
 
     by = ["video_id"]
-    stats = boxes.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("frame_index").alias("_f"), F.median("y").alias("_med"))
+    stats = boxes.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("frame_index").alias("_f"), F.median("y").alias("_mid"))
     b = boxes.join(stats, by).withColumn("_bin", F.floor(F.col("y") / bin_px).cast("long"))
     dense = b.groupBy(*by, "_bin", "_n").count().where(F.col("count") >= F.greatest(F.lit(30), F.floor(F.col("_n") / 100)))
     near = dense.select(*by, F.explode(F.sequence(F.col("_bin") - 2, F.col("_bin") + 2)).alias("_bin"), F.lit(True).alias("_near")).distinct()
     b = b.join(near, [*by, "_bin"], "left").join(dense.select(*by, F.lit(True).alias("_dense")).distinct(), by, "left")
     b = mad_score(b, by, "y", 2.0, "_z")
-    limit = F.greatest(4 * F.abs(F.col("y") - F.col("_med")) / F.greatest(F.col("_z"), F.lit(1e-9)), F.lit(10.0), F.lit((roi_height or 0) / 2))
-    keep = F.when((F.col("_f") < 4) | (F.col("_n") < 6), True).when(F.col("_dense"), F.coalesce("_near", F.lit(False))).otherwise((F.col("_z") <= 4) | (F.abs(F.col("y") - F.col("_med")) <= limit))
+    reach = F.lit(max(10.0, (roi_height or 0) / 2))
+    keep = F.when((F.col("_f") < 4) | (F.col("_n") < 6), True).when(F.col("_dense"), F.coalesce("_near", F.lit(False))).otherwise((F.col("_z") <= 4) | (F.abs(F.col("y") - F.col("_mid")) <= reach))
     b = b.withColumn("_keep", keep)
     any_kept = F.max(F.col("_keep").cast("int")).over(W.partitionBy(*by)) == 1
     return b.withColumn("_any", any_kept).where(F.col("_keep") | ~F.col("_any")).select(boxes.columns)

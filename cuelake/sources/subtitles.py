@@ -146,10 +146,10 @@ Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text
 
 def ass_body(cues: DataFrame) -> DataFrame:
     """(video_id, body): braces escaped, b, i and u as override tags, other tags dropped."""
-    t = F.regexp_replace(F.regexp_replace(F.col("text"), r"\{", r"\\\\{"), r"\}", r"\\\\}")
+    t = F.regexp_replace(F.regexp_replace(F.col("text"), r"\{", r"\\{"), r"\}", r"\\}")
     for tag in "biu":
-        t = F.regexp_replace(F.regexp_replace(t, f"(?i)<{tag}>", rf"{{\\\\{tag}1}}"), f"(?i)</{tag}>", rf"{{\\\\{tag}0}}")
-    t = F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", ""), "\n", r"\\\\N")
+        t = F.regexp_replace(F.regexp_replace(t, f"(?i)<{tag}>", rf"{{\\{tag}1}}"), f"(?i)</{tag}>", rf"{{\\{tag}0}}")
+    t = F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", ""), "\n", r"\\N")
     line = F.concat(F.lit("Dialogue: 0,"), T.ass_time("start_sec"), F.lit(","), T.ass_time("end_sec"), F.lit(",Default,,0,0,0,,"), t)
     return cues.groupBy("video_id").agg(F.concat(F.lit(ASS_HEAD), _ordered(cues, line, "\n"), F.lit("\n")).alias("body"))
 
