@@ -21,6 +21,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
 SEED = 17
+#: A source whose taken words miss its target by more than this share is refilled, in so many rounds at most.
+LOOSE, REFILLS = 0.01, 4
+_ORDER = ["key", "doc_id", "text_hash"]
 #: Sources whose targets the driver works out at most; more are worked out in one sorted pass on the cluster.
 DRIVER_SOURCES = 200_000
 
@@ -86,30 +89,67 @@ def _targets(totals: DataFrame, weights, share, most) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: int = SEED) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken, copies.
+    """One row per row of docs: doc_id, size, source_size, target, taken, copies, source, text_hash.
 
     size: words of the text (null or wordless: 0).  target: the words that the
     row's source shall give.  copies: how often the mix takes the text whole;
     taken: copies * size.  With e = floor(target / source_size), every document
     is taken e times, and once more those whose middle word lies in the first
     target - e * source_size words of the key order, so that a source's taken
-    words differ from its target by half a document at most.  A null source is a
-    source of its own, last in order.  Equal rows draw equal keys and tie in any
-    order.  A source without words has target 0.  Reruns agree: keys depend on
-    doc_id, text and seed alone.
+    words differ from its target by half a document at most.  Where that is more
+    than LOOSE of the target (sources of few documents), the document at the
+    border gives way to later ones that fit.  A null source is a source of its
+    own, last in order.  Equal rows draw equal keys and tie in any order.  A
+    source without words has target 0.  Reruns agree: keys depend on doc_id, text
+    and seed alone.
     """
     rows = only(docs, doc_id="long", source="string", text="string").withColumn("text_hash", F.xxhash64("text"))
     rows = rows.mapInArrow(_sizes, "doc_id long, source string, text_hash long, size long, weight double")
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     keyed = rows.select("doc_id", "source", "size", (-F.log(u) / F.col("weight")).alias("key"), "text_hash")
-    placed = cut(prefix_sums(keyed, ["key", "doc_id", "text_hash"], {"size": "before"}, group="source"), "mix")
+    placed = cut(prefix_sums(keyed, _ORDER, {"size": "before"}, group="source").withColumn("rid", F.monotonically_increasing_id()), "mix")
     totals = cut(placed.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     targets = _targets(totals, weights, share, most).withColumnRenamed("source", "_source")
-    joined = placed.join(small_side(targets), F.col("source").eqNullSafe(F.col("_source")))
+    joined = placed.join(small_side(targets), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    more = F.col("before") + F.col("size") / 2 <= F.col("target") - epochs * F.col("source_size")
-    copies = F.when((F.col("size") > 0) & more & (epochs < most), epochs + 1).otherwise(epochs).cast("long")
-    return joined.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", "text_hash")
+    joined = joined.withColumns({"epochs": epochs, "rest": F.col("target") - epochs * F.col("source_size")})
+    more = (F.col("size") > 0) & (F.col("epochs") < most) & (F.col("before") + F.col("size") / 2 <= F.col("rest"))
+    chosen = joined.withColumn("more", more)
+    got = F.sum(F.when(F.col("more"), F.col("size")).otherwise(F.lit(0)))
+    loose = cut(chosen.groupBy("source", "target", "rest").agg(got.alias("got")).where(F.abs(F.col("rest") - F.col("got")) > LOOSE * F.col("target")).select(F.col("source").alias("_source")), "loose")
+    if loose.limit(1).count():
+        mine = joined.join(small_side(loose), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").where("size > 0 and rest > 0")
+        picks = small_side(_refill(mine).withColumn("picked", F.lit(True)))
+        marked = small_side(loose.withColumn("loose", F.lit(True)))
+        chosen = chosen.join(picks, "rid", "left").join(marked, F.col("source").eqNullSafe(F.col("_source")), "left")
+        chosen = chosen.withColumn("more", F.when(F.col("loose"), F.coalesce("picked", F.lit(False))).otherwise(F.col("more")))
+    copies = (F.col("epochs") + F.col("more").cast("long")).cast("long")
+    return chosen.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", "text_hash")
+
+
+def _refill(rows: DataFrame) -> DataFrame:
+    """(rid) of the documents taken once more by sources of few documents: the leading ones that fit wholly, then, in up to REFILLS
+    rounds, the next ones in key order that fit what is left, then one that comes nearest."""
+    fits = F.col("before") + F.col("size") <= F.col("rest")
+    picked = cut(rows.where(fits).select("rid", "source", "size"), "picked")
+    other = rows.where(~fits)
+    for _ in range(REFILLS):
+        given = picked.groupBy(F.col("source").alias("_source")).agg(F.sum("size").alias("_given"))
+        left = other.join(small_side(given), F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_left", F.col("rest") - F.coalesce("_given", F.lit(0)))
+        open_ = cut(left.where("size <= _left").select("rid", "source", "size", "rest", "key", "doc_id", "text_hash", "_left"), "open")
+        if not open_.limit(1).count():
+            break
+        placed = cut(prefix_sums(open_, [*_ORDER, "rid"], {"size": "_b"}, group="source"), "refill")
+        new = F.col("_b") + F.col("size") <= F.col("_left")
+        picked = cut(picked.unionByName(placed.where(new).select("rid", "source", "size")), "picked")
+        other = placed.where(~new).drop("_b", "_left")
+    # one document more, if some document brings the words nearer to the target
+    given = picked.groupBy(F.col("source").alias("_source")).agg(F.sum("size").alias("_given"))
+    free = rows.join(picked.select("rid"), "rid", "left_anti").join(small_side(given), F.col("source").eqNullSafe(F.col("_source")), "left")
+    miss = F.abs(F.col("rest") - F.coalesce("_given", F.lit(0)) - F.col("size"))
+    nearer = free.where(miss < F.col("rest") - F.coalesce("_given", F.lit(0)))
+    last = nearer.groupBy("source").agg(F.min_by("rid", F.struct(miss, "key", "doc_id", "text_hash", "rid")).alias("rid"))
+    return picked.select("rid").unionByName(last.select("rid"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
