@@ -13,6 +13,7 @@ from .quality_knn import quality
 from .quality_rules import host_rules
 from .secrets import secret_spans
 from .sharding import byte_shards
+from .sql import ORACLE_SQL  # noqa: F401
 from .token_file import token_digests
 from .toxicity import toxicity
 
@@ -64,5 +65,3 @@ QUERIES = {
         op6_language_id, op7_token_file, op8_secret_scans, op9_toxicity, op10_source_mixing,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}
