@@ -279,3 +279,17 @@ def series_key(path) -> Column:
 
 def canonical_name(c) -> Column:
     return F.lower(F.regexp_replace(F.trim(col(c)), r"[\s._-]+", " "))
+
+
+def strip_margin_marks(c, keep: tuple[str, ...] = ()) -> Column:
+    """A cue without a first or last line that looks like a station mark, and without a trailing capital token.
+
+    A mark is a line of at most three words, 80 % of its letters capitals, all
+    ASCII.  Only texts that keep CJK are changed."""
+    lines = F.split(col(c), "\n")
+    shape = lambda x: F.lit(True) & x.rlike(r"^[\x20-\x7E]+$") & (F.size(F.split(F.trim(x), r"\s+")) <= 3) & (F.regexp_count(x, F.lit("[A-Z]")) >= 0.8 * F.regexp_count(x, F.lit("[A-Za-z]"))) & x.rlike("[A-Z]") & ~F.trim(x).isin(*(keep or ("",)))
+    first, last = F.element_at(lines, 1), F.element_at(lines, -1)
+    body = F.when(shape(first), F.slice(lines, 2, F.size(lines))).otherwise(lines)
+    body = F.when((F.size(body) > 1) & shape(last), F.slice(body, 1, F.greatest(F.lit(1), F.size(body) - 1))).otherwise(body)
+    text = F.regexp_replace(F.array_join(body, "\n"), r"(?<=[^A-Za-z\s])\s*[A-Z]{2,8}$", "")
+    return F.when((F.size(lines) >= 1) & contains_cjk(text), text).otherwise(col(c))

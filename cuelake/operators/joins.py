@@ -131,3 +131,8 @@ def replace_cues(cues: DataFrame, new: DataFrame, remove: DataFrame, least: floa
     )
     clipped = kept.withColumn("_c", clip).withColumns({"start_sec": F.col("_c.s"), "end_sec": F.col("_c.e")}).where(F.col("end_sec") - F.col("start_sec") >= least)
     return clipped.select(*cues.columns).unionByName(new.select(*cues.columns))
+
+
+def visible(cues: DataFrame, t0: float, t1: float) -> DataFrame:
+    """Cues that meet the closed range, those that span it among them."""
+    return cues.where((F.col("start_sec") <= t1) & (F.col("end_sec") >= t0))

@@ -53,12 +53,12 @@ def joined_text(frames: DataFrame, ratio: float = 0.30, least_px: float = 5.0) -
     return frames.withColumn("text", F.pandas_udf(run, "string")("boxes"))
 
 
-def reading_order(boxes: DataFrame, by: list[str], tolerance: float) -> DataFrame:
-    """rank: rows of near heights from top to bottom, within a row from left to right."""
-    w = W.partitionBy(*by).orderBy("y_min", "x_min")
+def reading_order(boxes: DataFrame, by: list[str], tolerance: float, tie: list[str] | None = None) -> DataFrame:
+    """rank: rows of near heights from top to bottom, within a row from left to right; boxes at one place in the order of `tie`."""
+    w = W.partitionBy(*by).orderBy("y_min", "x_min", *(tie or []))
     new = F.when(F.lag("y_min").over(w).isNull() | (F.col("y_min") - F.lag("y_min").over(w) > tolerance), 1).otherwise(0)
     rows = boxes.withColumn("_new", new).withColumn("_row", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("_row", "x_min", "y_min"))).drop("_new", "_row")
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("_row", "x_min", "y_min", *(tie or [])))).drop("_new", "_row")
 
 
 def density_cluster(boxes: DataFrame, clusters: DataFrame) -> DataFrame:

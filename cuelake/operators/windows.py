@@ -136,3 +136,17 @@ def eviction_plan(df: DataFrame, size: str, age: str, tie: str, most_age, most_b
     before = by_age.withColumn("_before", F.coalesce(F.sum("_s").over(W.orderBy(age).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")
     inside = F.sum(F.when(F.col("_old"), F.lit(0)).otherwise(F.col(size))).over(W.partitionBy(age).orderBy(tie).rowsBetween(W.unboundedPreceding, 0))
     return live.withColumn("_inside", inside).join(before, age, "left").withColumn("evict", F.col("_old") | (~exempt & (F.coalesce("_before", F.lit(0)) + F.col("_inside") > most_bytes))).drop("_old", "_inside", "_before")
+
+
+def drifting_sample(df: DataFrame, by: list[str], ts: str, step: float) -> DataFrame:
+    """Rows at least `step` after the last one taken: the grid moves with the rows, so this is a fold per group."""
+    import pandas as pd
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, keep, target = pdf.sort_values(ts, kind="stable"), [], float("-inf")
+        for t in pdf[ts]:
+            keep.append(t >= target)
+            target = t + step if keep[-1] else target
+        return pdf[keep]
+
+    return df.groupBy(*by).applyInPandas(fold, df.schema)

@@ -4,7 +4,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
-from cuelake.plans.catalog import ORACLE_SQL, QUERIES
+from cuelake.plans import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")

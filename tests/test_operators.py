@@ -268,3 +268,13 @@ def test_translation(spark):
     assert {r.speaker for r in got} == {"Robert & Albert", "Zed"}
     h = spark.range(1).select(TR.stage_hashes(F.lit("a"), [F.lit("x"), F.lit("y")]).alias("h"), TR.stage_hashes(F.lit("a"), [F.lit("z"), F.lit("y")]).alias("g")).first()
     assert h.h[1] != h.g[1]
+
+
+def test_margin_marks_and_samples(spark):
+    df = spark.createDataFrame([("BOR TV\n你好世界",), ("你好世界\nCIACA",), ("你好 ABC",), ("ONLY LATIN\nhere",), ("你好",)], "v string")
+    assert [r[0] for r in df.select(T.strip_margin_marks("v")).collect()] == ["你好世界", "你好世界", "你好", "ONLY LATIN\nhere", "你好"]
+    s = spark.createDataFrame([("v", t) for t in (0.0, 0.4, 1.1, 1.9, 2.2)], "v string, t double")
+    assert sorted(r.t for r in N.drifting_sample(s, ["v"], "t", 1.0).collect()) == [0.0, 1.1, 2.2]
+    assert sorted(r.b for r in N.step_sample(s.withColumn("b", F.col("t")), ["v"], "t", 1.0, "b").collect()) == [0.0, 1.1, 2.2]
+    c = spark.createDataFrame([(0.0, 5.0), (6.0, 7.0), (9.0, 9.5)], "start_sec double, end_sec double")
+    assert J.visible(c, 4.0, 6.5).count() == 2
