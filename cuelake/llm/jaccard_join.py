@@ -11,11 +11,11 @@ The plan, for sets that may number billions:
 3. The rest are ordered by rising frequency.  Sets with the same smallest hash
    are grouped, and a few of them (leaders) answer for those highly similar to
    them: their clusters are stars of checked links.
-4. Index lists of the prefix tokens hold (cluster, set size, position).  They
-   are cut into blocks by size; whole blocks are skipped when their sizes or
-   what is left after their positions cannot reach the threshold, and a list
-   held by one cluster alone is skipped at once.  What remains are pairs of
-   clusters.
+4. Index lists of the prefix tokens hold (cluster, set sizes, position), each
+   cluster once.  They are cut into blocks by size; whole blocks are skipped
+   when their sizes or what is left after their positions cannot reach the
+   threshold, and a list held by one cluster alone is skipped at once.  What
+   remains are pairs of clusters.
 5. A pair of clusters is checked set by set until a link is found.  The first
    set's overlaps with all members of the other cluster are counted through an
    inverted index; each further set's counts are derived from its predecessor's
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import cut, only, partitions, shared_folder, small_side
+from .common import cut, drop_cut, only, partitions, shared_folder, small_side
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -235,25 +235,28 @@ def _postings(num: int, den: int):
     return run
 
 
-def _list_pairs(n, rest, leader, num: int, den: int):
-    """Cluster pairs of one index list.  Blocks of LIST_BLOCK entries by rising size; blocks that cannot reach the threshold are skipped."""
-    order = np.argsort(n, kind="stable")
-    n, rest, leader = n[order], rest[order], leader[order]
-    names, counts = np.unique(leader, return_counts=True)
-    largest = names[np.argmax(counts)]
-    starts = range(0, len(n), LIST_BLOCK)
-    top = {a: (n[a : a + LIST_BLOCK].max(), rest[a : a + LIST_BLOCK].max(), (leader[a : a + LIST_BLOCK] != largest).any()) for a in starts}
+def _list_pairs(low, high, rest, leader, num: int, den: int):
+    """Cluster pairs of one index list.
+
+    An entry stands for a cluster: the sizes of its sets with this token are
+    within low and high, and at most `rest` tokens are left from the token's
+    place on.  Blocks of LIST_BLOCK entries by rising size; blocks that cannot
+    reach the threshold by their sizes or places are skipped."""
+    order = np.argsort(low, kind="stable")
+    low, high, rest, leader = low[order].astype(np.int64), high[order].astype(np.int64), rest[order].astype(np.int64), leader[order]
+    starts = range(0, len(low), LIST_BLOCK)
+    top = {a: (high[a : a + LIST_BLOCK].max(), rest[a : a + LIST_BLOCK].max()) for a in starts}
     out = []
     for a in starts:
-        for b in range(a, len(n), LIST_BLOCK):
-            if den * top[a][0] < num * n[b]:
+        for b in range(a, len(low), LIST_BLOCK):
+            if den * top[a][0] < num * low[b]:
                 break  # this block and all later ones hold sets that are too large
-            if not (top[a][2] or top[b][2]) or (num + den) * min(top[a][1], top[b][1]) < num * (n[a] + n[b]):
+            if (num + den) * min(top[a][1], top[b][1]) < num * (low[a] + low[b]):
                 continue
             i, j = slice(a, a + LIST_BLOCK), slice(b, b + LIST_BLOCK)
-            both = np.minimum(rest[i, None], rest[None, j])
-            hit = (leader[i, None] != leader[None, j]) & ((num + den) * both >= num * (n[i, None].astype(np.int64) + n[None, j])) & (den * n[i, None].astype(np.int64) >= num * n[None, j])
-            x, y = np.nonzero(hit)
+            fits = (den * high[i, None] >= num * low[None, j]) & (den * high[None, j] >= num * low[i, None])
+            fits &= (num + den) * np.minimum(rest[i, None], rest[None, j]) >= num * (low[i, None] + low[None, j])
+            x, y = np.nonzero(fits & (leader[i, None] < leader[None, j] if a == b else leader[i, None] != leader[None, j]))
             out.append(np.stack([leader[i][x], leader[j][y]], 1))
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
@@ -279,8 +282,8 @@ def _candidates(num: int, den: int):
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for s, e in zip(starts[:-1], starts[1:]):
-            if e - s > 1 and cols["leader"][s] != cols["leader"][e - 1]:
-                pairs = _list_pairs(cols["n"][s:e], cols["rest"][s:e], cols["leader"][s:e], num, den)
+            if e - s > 1:
+                pairs = _list_pairs(cols["low"][s:e], cols["high"][s:e], cols["rest"][s:e], cols["leader"][s:e], num, den)
                 if len(pairs):
                     found.append(pairs)
                     held += len(pairs)
@@ -372,7 +375,10 @@ def _components_of(alive: DataFrame, num: int, den: int) -> DataFrame:
     n = partitions(spark, alive.count(), 4_000)
     clusters = cut(salted.repartition(n, "key", "salt").mapInArrow(_clusters(num, den), "doc_id long, n int, tokens binary, leader long, members int"), "clusters")
     lists = clusters.select("n", "tokens", "leader", "members").mapInArrow(_postings(num, den), "token long, leader long, members int, n int, rest int")
+    # an index list holds each cluster once, however many of its sets have the token
+    lists = lists.groupBy("token", "leader").agg(F.max("members").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
     pairs = cut(lists.repartition(n, "token").mapInArrow(_candidates(num, den), "a long, b long").distinct(), "pairs")
+    drop_cut(alive)
     salts = small_side(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_AT_ONCE).alias("salts")))
     asked = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
     members = clusters.select("leader", "doc_id", "n", "tokens")
