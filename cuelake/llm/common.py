@@ -23,8 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of an Arrow batch; Spark's default of 10,000 makes batches of long texts large.
+BATCH_ROWS = 2_000
+
+
 def with_package_path(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it isn't installed on them."""
+    """Lets Python workers import this package where it isn't installed on them, and keeps their batches small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     parts = env.get("PYTHONPATH", "").split(os.pathsep)

@@ -41,6 +41,7 @@ SHINGLE_WORDS = 5
 THRESHOLD = (75, 100)
 #: Tokens of one hash range, sets clustered at once, and cluster pairs checked at once.
 RANGE_TOKENS = 1_000_000
+BLOCK_TOKENS = 400_000
 CLUSTER_SETS = 1_000
 PAIRS_AT_ONCE = 200
 LIST_BLOCK = 256
@@ -78,33 +79,35 @@ def _packed_tokens(ranges: int):
 
         task, k = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, len(whole), 1 << 16):
-                batch = whole.slice(at, 1 << 16)
-                sizes = np.zeros(len(batch), np.int32)
-                ids = np.asarray(batch.column("doc_id"))
-                sets = []
-                for row, s in shingle_sets(batch.column("text")):
-                    sizes[row] = len(s)
-                    sets.append(s)
-                if not sizes.any():
-                    continue
-                block = (task << 24) | k
-                k += 1
-                token = np.concatenate(sets)
-                row = np.repeat(np.arange(len(batch), dtype=np.uint64), sizes)
-                rng = _range_of(token, ranges)
-                order = np.argsort(rng, kind="stable")
-                packed = ((token[order] << np.uint64(16)) | row[order]).view(np.int64)
-                at_range = np.concatenate([[0], np.cumsum(np.bincount(rng, minlength=ranges))])
-                used = np.flatnonzero(np.diff(at_range))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([used, [-1 - block % ranges]]).astype(np.int64)),
-                        pa.array(np.full(len(used) + 1, block, np.int64)),
-                        pa.array([*(packed[at_range[r] : at_range[r + 1]].tobytes() for r in used), ids.astype(np.int64).tobytes() + sizes.tobytes()], pa.binary()),
-                    ],
-                    names=["rng", "block", "tokens"],
-                )
+            ids = np.asarray(whole.column("doc_id").cast(pa.int64()))
+            sizes, sets, held, start = np.zeros(len(whole), np.int32), [], 0, 0
+            for row, s in shingle_sets(whole.column("text")):
+                sizes[row] = len(s)
+                sets.append(s)
+                held += len(s)
+                # a block ends at so many tokens, so that memory doesn't follow the batch
+                if held >= BLOCK_TOKENS or row - start + 1 >= 1 << 16 or row + 1 == len(whole):
+                    if held:
+                        yield pack((task << 32) | k, ids[start : row + 1], sizes[start : row + 1], sets)
+                        k += 1
+                    sets, held, start = [], 0, row + 1
+
+    def pack(block, ids, sizes, sets):
+        token = np.concatenate(sets)
+        rng = _range_of(token, ranges)
+        order = np.argsort(rng, kind="stable")
+        row = np.repeat(np.arange(len(ids), dtype=np.uint64), sizes)
+        packed = (token[order] << np.uint64(16)) | row[order]
+        at_range = np.concatenate([[0], np.cumsum(np.bincount(rng, minlength=ranges))])
+        used = np.flatnonzero(np.diff(at_range))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([used, [-1 - block % ranges]]).astype(np.int64)),
+                pa.array(np.full(len(used) + 1, block, np.int64)),
+                pa.array([*(packed[at_range[r] : at_range[r + 1]].tobytes() for r in used), ids.tobytes() + sizes.tobytes()], pa.binary()),
+            ],
+            names=["rng", "block", "tokens"],
+        )
 
     return run
 

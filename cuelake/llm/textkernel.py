@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once; temporary arrays are about 60 bytes per text byte.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240521)
 #: One random odd-free 64-bit value per byte value, and odd multipliers by position.
