@@ -63,8 +63,32 @@ class Encoder:
         self.forget()
 
     def forget(self):
-        self.key, self.at, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        # sorted keys, places and counts of ids: a large level, and a small one that new pieces go to
+        self.levels = [none, none]
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _find(self, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and count of ids of each piece; count -1 for pieces not seen yet."""
+        at, count = np.zeros(len(name), np.int64), np.full(len(name), -1)
+        for keys, places, counts in self.levels:
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, name), len(keys) - 1)
+                hit = keys[i] == name
+                at[hit], count[hit] = places[i[hit]], counts[i[hit]]
+        return at, count
+
+    def _learn(self, name: np.ndarray, found: list[list[int]]) -> None:
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        need = self.used + int(count.sum())
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * need - self.used, np.uint32)])
+        self.ids[self.used : need] = np.fromiter((i for f in found for i in f), np.uint32, need - self.used)
+        at = self.used + np.cumsum(count) - count
+        self.used = need
+        self.levels[1] = _merged(self.levels[1], (name, at, count))
+        if len(self.levels[1][0]) > max(1 << 16, len(self.levels[0][0]) // 4):
+            self.levels = [_merged(*self.levels), tuple(x[:0] for x in self.levels[1])]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids of the texts in turn, ids of each text)."""
@@ -78,27 +102,18 @@ class Encoder:
         value *= tk.position_multipliers(int(lengths.max()))[position]
         key = tk.mix(np.add.reduceat(value, starts) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         name, first, which = np.unique(key, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.key, name)
-        known = np.zeros(len(name), bool)
-        inside = at < len(self.key)
-        known[inside] = self.key[at[inside]] == name[inside]
-        new = np.flatnonzero(~known)
+        at, count = self._find(name)
+        new = np.flatnonzero(count < 0)
         if len(new):
-            if len(self.key) + len(new) > MEMORY_PIECES:
+            if sum(len(k) for k, _, _ in self.levels) + len(new) > MEMORY_PIECES:
                 self.forget()
                 new = np.arange(len(name))
             raw = data.tobytes()
             texts = [raw[s : s + k].decode() for s, k in zip(starts[first[new]].tolist(), lengths[first[new]].tolist())]
-            found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-            count = np.fromiter(map(len, found), np.int64, len(found))
-            where = len(self.ids) + np.cumsum(count) - count
-            self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(count.sum()))])
-            order = np.argsort(keys := np.concatenate([self.key, name[new]]), kind="stable")
-            self.key, self.at, self.count = keys[order], np.concatenate([self.at, where])[order], np.concatenate([self.count, count])[order]
-            at = np.searchsorted(self.key, name)
-        at = at[which]
-        count = self.count[at]
-        ids = self.ids[tk.spread(self.at[at], count)]
+            self._learn(name[new], [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
+            at, count = self._find(name)
+        at, count = at[which], count[which]
+        ids = self.ids[tk.spread(at, count)]
         piece = np.searchsorted(starts, offsets)
         return ids, np.diff(np.concatenate([[0], np.cumsum(count)])[piece])
 
@@ -128,6 +143,13 @@ class Encoder:
         return np.flatnonzero(cut)
 
 
+def _merged(a, b):
+    """Two levels as one, sorted by key."""
+    keys, *rest = (np.concatenate(x) for x in zip(a, b))
+    order = np.argsort(keys, kind="stable")
+    return (keys[order], *(x[order] for x in rest))
+
+
 _encoders: dict[str, Encoder] = {}
 
 
