@@ -72,8 +72,8 @@ def merge_context(parts: DataFrame, by: list[str], order: list[str]) -> DataFram
     from .sets import merge_fields
 
     overview = merge_fields(parts, by, order, ["overview"])
-    terms = parts.select(*by, *order, F.posexplode("terms").alias("_k", "t"))
-    w = W.partitionBy(*by, F.lower("t.source")).orderBy(*order, "_k")
+    terms = parts.select(*by, *order, F.posexplode("terms").alias("_k", "_t"))
+    w = W.partitionBy(*by, F.lower("_t.source")).orderBy(*order, "_k")
     first = terms.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    merged = first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_k", "t"))), lambda s: s["t"]).alias("terms"))
+    merged = first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_k", "_t"))), lambda s: s["_t"]).alias("terms"))
     return overview.join(merged, by, "left")

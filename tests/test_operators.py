@@ -278,3 +278,52 @@ def test_margin_marks_and_samples(spark):
     assert sorted(r.b for r in N.step_sample(s.withColumn("b", F.col("t")), ["v"], "t", 1.0, "b").collect()) == [0.0, 1.1, 2.2]
     c = spark.createDataFrame([(0.0, 5.0), (6.0, 7.0), (9.0, 9.5)], "start_sec double, end_sec double")
     assert J.visible(c, 4.0, 6.5).count() == 2
+
+
+def test_latin_gibberish_and_alignment(spark):
+    df = spark.createDataFrame([("xkqz", 0.7, 1), ("River", 0.9, 9), ("TV", 0.5, 1), ("aBCd", 0.6, 1), ("你好", 0.2, 1)], "t string, c double, n int")
+    assert [r[0] for r in df.select(FL.latin_gibberish(F.col("t"), F.col("c"), F.col("n"))).collect()] == [True, False, False, True, False]
+    lines = spark.createDataFrame([(400.0, 600.0, "middle text", 0.95), (0.0, 120.0, "left text", 0.95), (0.0, 1100.0, "too wide", 0.95), (350.0, 560.0, "a", 0.95)], "x0 double, x1 double, text string, confidence double")
+    assert [r.text for r in FL.aligned_lines(lines, 0.0, 1000.0).collect()] == ["middle text"]
+    assert [r.text for r in FL.aligned_lines(lines, 0.0, 1000.0, "LEFT").collect()] == ["left text"]
+
+
+def test_rescued_stacks(spark):
+    rows = [("v", f, 100, 500, 300, 520, True) for f in range(5)] + [("v", 9, 100, 480, 300, 500, False), ("v", 9, 110, 505, 290, 525, False), ("v", 9, 0, 10, 20, 20, False)]
+    b = spark.createDataFrame(rows, "video_id string, frame_index int, x0 int, y0 int, x1 int, y1 int, kept boolean")
+    assert sorted(r.y0 for r in FL.rescue_stacks(b, 60.0).collect()) == [480, 505]
+
+
+def test_joined_text_and_coordinates(spark):
+    poly = lambda x, y: [(x, y), (x + 40, y), (x + 40, y + 10), (x, y + 10)]
+    df = spark.createDataFrame([("v", [("world", 0.9, poly(60, 1)), ("Hello", 0.9, poly(0, 0)), ("next", 0.9, poly(0, 40))]), ("w", [])], "video_id string, boxes array<struct<text:string,confidence:double,polygon:array<struct<x:int,y:int>>>>")
+    assert {r.video_id: r.text for r in SP.joined_text(df).collect()} == {"v": "Hello world\nnext", "w": ""}
+    moved = SP.to_frame_coordinates(df, 10.0, 2.0, 5, 7).where("video_id = 'v'").first().boxes[0].polygon[0]
+    assert (moved.x, moved.y) == (30, 3)
+
+
+def test_mixed_similarity_and_cosine(spark):
+    df = spark.createDataFrame([(0.95, 0.1, False), (0.5, 1.0, True), (0.5, 1.0, False), (0.5, None, False), (0.1, 1.0, True)], "x double, s double, c boolean")
+    assert [round(r[0], 6) for r in df.select(T.hybrid_similarity("x", "s", F.col("c"))).collect()] == [0.95, 0.8, 0.65, 0.5, 0.1]
+    v = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0, 0.0], [-1.0, 0.0])], "a array<double>, b array<double>")
+    assert [round(r[0], 6) for r in v.select(T.cosine("a", "b")).collect()] == [0.707107, 0.0, 0.0]
+
+
+def test_watermark_round_trip(spark):
+    rows = [("v", i, f"line {i}\nSTATION") for i in range(8)] + [("v", 8, "STATION\n"), ("v", 9, "alone")]
+    c = spark.createDataFrame(rows, "video_id string, idx int, text string")
+    marks = A.watermark_lines(c, ["video_id"], "idx", "text")
+    assert [r.line for r in marks.collect()] == ["STATION"]
+    assert sorted(r.text for r in A.without_lines(c, marks, ["video_id"], "text").collect()) == ["alone", *(f"line {i}" for i in range(8))]
+
+
+def test_tukey_needs_six(spark):
+    df = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, 4, 5, 100)] + [("b", 1.0), ("b", 500.0)], "k string, v double")
+    assert sorted((r.k, r.v) for r in A.tukey_keep(df, ["k"], "v").collect())[-1] == ("b", 500.0) and A.tukey_keep(df, ["k"], "v").count() == 7
+
+
+def test_merge_context(spark):
+    t = "array<struct<source:string,target:string>>"
+    df = spark.createDataFrame([("s", 1, "old", [("Sword", "a")]), ("s", 2, " ", [("sword", "b"), ("Bow", "c")])], f"s string, t int, overview string, terms {t}")
+    r = TR.merge_context(df, ["s"], ["t"]).first()
+    assert r.overview == "old" and [(x.source, x.target) for x in r.terms] == [("Sword", "a"), ("Bow", "c")]
