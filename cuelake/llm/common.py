@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where none is set (tests), a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = os.path.join(tempfile.gettempdir(), f"cuelake-{os.getuid()}")
+        found = tempfile.mkdtemp(prefix="cuelake-")
+        atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
