@@ -36,6 +36,9 @@ def with_package_path(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
+    # freed arrays go back to the system rather than stay with an idle worker
+    for name, value in (("MALLOC_ARENA_MAX", "1"), ("MALLOC_MMAP_THRESHOLD_", str(8 << 20)), ("MALLOC_TRIM_THRESHOLD_", str(16 << 20)), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        env.setdefault(name, value)
     parts = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in parts:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, parts)])

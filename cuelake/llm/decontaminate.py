@@ -128,6 +128,18 @@ def _scan(items: Items, ids: list):
     return run
 
 
+def _whole(items: Items, ids: list):
+    """_scan and _summary in one worker, for a benchmark of one block."""
+    scan = _scan(items, ids)
+
+    def run(batches):
+        for batch in scan(batches):
+            hits = pa.array([[h] for h in batch.column("hit").to_pylist()], pa.list_(pa.binary()))
+            yield from _summary([pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), hits, batch.column("items")], names=["doc_id", "n_words", "hits", "items"])])
+
+    return run
+
+
 def _summary(batches):
     for batch in batches:
         masks = batch.column("hits").to_pylist()
@@ -178,9 +190,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     docs = only(docs, doc_id="long", text="string")
     schema = "doc_id long, n_words long, hit binary, items array<string>"
     blocks = list(item_blocks(benchmark, block_words)) if benchmark.limit(1).count() else [[]]
+    out = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     if len(blocks) == 1:
-        own = _block_scan(spark, docs, blocks[0], schema, window, gram)
-        merged = own.select("doc_id", "n_words", F.array("hit").alias("hits"), "items")
+        return docs.mapInArrow(_whole(Items([t for _, t in blocks[0]], window, gram), [i for i, _ in blocks[0]]), out)
     else:
         docs = docs.withColumn("row", F.monotonically_increasing_id())
         parts = None
@@ -190,7 +202,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         parts = cut(parts, "hits")
         merged = parts.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.collect_list("hit").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
         merged = merged.select("doc_id.doc_id", "n_words", "hits", "items")
-    return merged.mapInArrow(_summary, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return merged.mapInArrow(_summary, out)
 
 
 def _block_scan(spark, docs, block, schema, window, gram):

@@ -36,7 +36,7 @@ MOST_BITS = 18
 CHECKPOINT_TOKENS = 128
 BLOCK_TOKENS = 1 << 17
 #: Distinct pieces of text whose ids a worker remembers.
-MEMORY_PIECES = 1_500_000
+MEMORY_PIECES = 600_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -63,7 +63,7 @@ class Encoder:
         self.forget()
 
     def forget(self):
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
         # sorted keys, places and counts of ids: a large level, and a small one that new pieces go to
         self.levels = [none, none]
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -82,11 +82,11 @@ class Encoder:
         count = np.fromiter(map(len, found), np.int64, len(found))
         need = self.used + int(count.sum())
         if need > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * need - self.used, np.uint32)])
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(need + need // 4 - self.used, np.uint32)])
         self.ids[self.used : need] = np.fromiter((i for f in found for i in f), np.uint32, need - self.used)
         at = self.used + np.cumsum(count) - count
         self.used = need
-        self.levels[1] = _merged(self.levels[1], (name, at, count))
+        self.levels[1] = _merged(self.levels[1], (name, at.astype(np.int32), count.astype(np.int32)))
         if len(self.levels[1][0]) > max(1 << 16, len(self.levels[0][0]) // 4):
             self.levels = [_merged(*self.levels), tuple(x[:0] for x in self.levels[1])]
 
