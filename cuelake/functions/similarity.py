@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -100,6 +101,62 @@ def token_set_ratio(a: str, b: str) -> float:
     return 100 * max(scores)
 
 
+def token_set_ratios(queries: list[str], texts: list[str], pack: int = 256) -> np.ndarray:
+    """token_set_ratio of each query with each text, as a matrix.
+
+    Texts are packed into one long bit pattern with a free bit between two, so
+    that a step of lcs_length serves all of them.  Common words match nothing:
+    on the texts' side their bits are left out, on the query's side they are
+    skipped where a text has them; they lead both sides and count whole."""
+    out = np.zeros((len(queries), len(texts)))
+    asked = [sorted(set(q.split())) for q in queries]
+    to_int = lambda bits: int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    for first in range(0, len(texts), pack):
+        own = [sorted(set(t.split())) for t in texts[first : first + pack]]
+        places: dict[str, list[tuple[int, int]]] = {}
+        starts, at = np.zeros(len(own), np.int64), 0
+        for i, words in enumerate(own):
+            starts[i] = at
+            for w in words:
+                places.setdefault(w, []).append((i, at))
+                at += len(w) + 1
+            at += 1
+        size = np.diff(np.append(starts, at)) - 1
+        signs = np.frombuffer("".join("".join(" " + w for w in words) + "\n" for words in own).encode("utf-32-le", "surrogatepass"), np.uint32)
+        full, masks = to_int(signs != 10), {}
+        for k, words in enumerate(asked):
+            if not words:
+                continue
+            alive, common, shared = signs != 10, np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            for w in words:
+                for i, a in places.get(w, ()):
+                    alive[a : a + len(w) + 1] = False
+                    common[i] += len(w) + 1
+                    shared[i] += 1
+            live, s = to_int(alive), full
+            for w in words:
+                here = live
+                if w in places:
+                    there = np.ones(len(signs), bool)
+                    for i, _ in places[w]:
+                        there[starts[i] : starts[i] + size[i]] = False
+                    here &= to_int(there)
+                for c in " " + w:
+                    if c not in masks:
+                        masks[c] = to_int(signs == ord(c))
+                    u = s & masks[c] & here
+                    s = ((s + u) | (s ^ u)) & full
+            zeros = np.unpackbits(np.frombuffer((full ^ s).to_bytes(len(signs) // 8 + 1, "little"), np.uint8), bitorder="little")
+            lcs = np.add.reduceat(zeros[: len(signs)], starts, dtype=np.int64)
+            la, lb, both = sum(len(w) + 1 for w in words) - 1, np.maximum(size - 1, 0), np.maximum(common - 1, 0)
+            score = 2 * (common - 1 + lcs) / (la + lb)
+            score = np.maximum(score, np.maximum(2 * both / (both + la), 2 * both / np.maximum(both + lb, 1)))
+            score[(shared > 0) & ((shared == len(words)) | (common == size))] = 1.0
+            score[size <= 0] = 0.0
+            out[k, first : first + len(own)] = 100 * score
+    return out
+
+
 def edit_operations(a: str, b: str) -> list[tuple[str, int, int]]:
     """One shortest script of (replace | delete | insert, position in a, position in b)."""
     n, m = len(a), len(b)

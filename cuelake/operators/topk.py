@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..functions.similarity import token_set_ratio_udf
+from ..functions.similarity import token_set_ratios
+
+#: Rows of one block of queries and of memory, and the most queries that are broadcast.
+QUERY_BLOCK, MEMORY_BLOCK, BROADCAST_QUERIES = 200, 256, 50_000
 
 
 def top_k(pairs: DataFrame, query: list[str], score: str, tie: list[str], k: int, least: float | None = None) -> DataFrame:
@@ -15,21 +21,52 @@ def top_k(pairs: DataFrame, query: list[str], score: str, tie: list[str], k: int
     return ranked if least is None else ranked.where(F.col(score) >= least)
 
 
-def fuzzy_top_k(queries: DataFrame, memory: DataFrame, query_text: str, memory_text: str, query: list[str], tie: list[str], k: int = 3, least: float = 70.0, limit: int = 50_000) -> DataFrame:
+def _blocks(rows: int):
+    """Rows of one struct column as arrays of so many."""
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, len(batch), rows):
+                part = batch.column(0).slice(first, rows)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)], names=[batch.schema.names[0]])
+
+    return run
+
+
+def _best_of_blocks(query_text: str, memory_text: str, k: int, least: float | None):
+    def run(batches):
+        """Of each pair of blocks (q, m): per query the k best rows and all that equal the last of them.  A null text has no score."""
+        for batch in batches:
+            for row in range(len(batch)):
+                q, m = batch.column("q")[row].values, batch.column("m")[row].values
+                a, b = q.field(query_text).to_pylist(), m.field(memory_text).to_pylist()
+                score = token_set_ratios([x or "" for x in a], [x or "" for x in b])
+                score[[x is None for x in a]] = -1
+                score[:, [x is None for x in b]] = -1
+                last = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else score.min(1)
+                i, j = np.nonzero(score >= np.maximum(last, -1 if least is None else least)[:, None])
+                if len(i):
+                    found = score[i, j]
+                    yield pa.RecordBatch.from_arrays([q.take(pa.array(i)), m.take(pa.array(j)), pa.array(found, mask=found < 0)], names=["q", "m", "score"])
+
+    return run
+
+
+def fuzzy_top_k(queries: DataFrame, memory: DataFrame, query_text: str, memory_text: str, query: list[str], tie: list[str], k: int = 3, least: float = 70.0) -> DataFrame:
     """Memory rows nearest to each query by token-set ratio.
 
-    A memory of up to `limit` rows is broadcast and scored whole.  A larger one
-    is narrowed by shared words first: a token-set ratio of `least` > 0 needs a
-    common word or a long common part of the rest, so this is the one form that
-    can miss matches without any common word."""
-    if memory.limit(limit + 1).count() <= limit:
-        pairs = queries.join(F.broadcast(memory))
-    else:
-        words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1))
-        q = queries.withColumn("_w", F.explode(words(query_text)))
-        m = memory.withColumn("_w", F.explode(words(memory_text)))
-        pairs = q.join(m, "_w").drop("_w").dropDuplicates([*query, *tie])
-    return top_k(pairs.withColumn("score", token_set_ratio_udf(query_text, memory_text)), query, "score", tie, k, least)
+    Every pair is scored, at every size: blocks of queries (the small side)
+    meet blocks of memory rows, and only the best of a block go on."""
+    spark = queries.sparkSession
+    kind = lambda df: df.select(F.struct("*").alias("x")).schema["x"].dataType
+    rows = lambda df, name, n: df.select(F.struct("*").alias(name)).mapInArrow(_blocks(n), StructType([StructField(name, ArrayType(kind(df)))]))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = rows(queries, "q", QUERY_BLOCK)
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        asked = F.broadcast(asked)
+    pairs = rows(memory, "m", MEMORY_BLOCK).repartition(tasks).join(asked)
+    best = pairs.mapInArrow(_best_of_blocks(query_text, memory_text, k, least), StructType([StructField("q", kind(queries)), StructField("m", kind(memory)), StructField("score", DoubleType())]))
+    return top_k(best.select("q.*", "m.*", "score"), query, "score", tie, k, least)
 
 
 def evenly_spaced(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
