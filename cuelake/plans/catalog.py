@@ -435,8 +435,8 @@ def topk_retrieval_semantic(spark, d):
 
 @query()
 def topk_retrieval_fuzzy(spark, d):
-    q = read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("query_text"))
-    memory = read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.substring("text", 1, 60).alias("memory_text"))
+    q = read(spark, d, "benchmark").select("item_id", F.col("text").alias("query_text"))
+    memory = read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("memory_text"))
     return K.fuzzy_top_k(q, memory, "query_text", "memory_text", ["item_id"], ["conv_id", "turn"], 3, 30.0).select("item_id", "conv_id", "turn", "rank", F.round("score", 6).alias("score"))
 
 

@@ -4,6 +4,13 @@ import random
 
 from cuelake.functions.similarity import token_set_ratio, token_set_ratios
 from cuelake.operators import topk as K
+from cuelake.plans import QUERIES
+
+
+def tables(spark, folder, **rows):
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
 
 
 def test_token_set_ratios_equal_one_by_one():
@@ -25,3 +32,16 @@ def test_fuzzy_top_k_ties_and_nulls(spark):
     memory = spark.createDataFrame([(3, "a b"), (1, "a b"), (2, "a b"), (4, None)], "id long, m string")
     queries = spark.createDataFrame([(1, "b a"), (2, None)], "q long, t string")
     assert sorted((r.q, r.id, r.rank) for r in K.fuzzy_top_k(queries, memory, "t", "m", ["q"], ["id"], 2).collect()) == [(1, 1, 1), (1, 2, 2)]
+
+
+def test_topk_retrieval_fuzzy_reads_whole_texts(spark, tmp_path):
+    """The openings are alike everywhere; what tells the turns apart comes after character 60."""
+    head = "same opening words here " * 4
+    d = tables(
+        spark, tmp_path,
+        benchmark=([(1, head + "violet harbour lantern")], "item_id long, text string"),
+        conversations=([(i, 1, "user", head + tail) for i, tail in enumerate(["brick", "stone oven", "violet harbor lanterns", "quartz"])], "conv_id long, turn int, role string, text string"),
+    )
+    rows = QUERIES["topk_retrieval_fuzzy"](spark, d).collect()
+    best = next(r for r in rows if r["rank"] == 1)
+    assert best.conv_id == 2 and best.score == round(token_set_ratio(head + "violet harbour lantern", head + "violet harbor lanterns"), 6)
