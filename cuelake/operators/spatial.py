@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import _CJK
 
+#: Side of the tiles that density clusters are found in, in reaches.
+TILE = 8
+
 
 def smart_join(parts: list[str]) -> str:
     """Parts of one line; a space between them unless CJK meets CJK."""
@@ -145,14 +148,105 @@ def density_scan(points: np.ndarray, eps: tuple[float, float], least: int) -> np
     return label
 
 
-def density_clusters(boxes: DataFrame, eps_x: float, eps_y: float, least: int = 5) -> DataFrame:
-    """boxes with `cluster` (-1: noise), by density of their centres per video."""
+def _tile_links(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
+    """Of one tile and the border around it, per place (x, y): 0, its local cluster, for own cores; 1, the local cluster that reaches it, for
+    cores of the border; 2, a core beside it, for own places that aren't cores.  A cluster is named after its smallest own core."""
+    pdf = pdf.sort_values(["x", "y"])
+    xy, s, own = pdf[["x", "y"]].to_numpy(), pdf[["sx", "sy"]].to_numpy(), pdf["own"].to_numpy()
+    weight, cell = pdf["n"].to_numpy(), {}
+    keys = [tuple(k) for k in np.floor(s).astype(int)]
+    for i, k in enumerate(keys):
+        cell.setdefault(k, []).append(i)
+    around: dict[tuple[int, int], np.ndarray] = {}
+    near: dict[int, np.ndarray] = {}
+
+    def beside(i: int) -> np.ndarray:
+        if i not in near:
+            k = keys[i]
+            if k not in around:
+                around[k] = np.array([j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in cell.get((k[0] + dx, k[1] + dy), ())])
+            near[i] = around[k][((s[around[k]] - s[i]) ** 2).sum(1) <= 1.0]
+        return near[i]
+
+    core = np.zeros(len(s), np.int8) - 1  # -1: not asked yet
+
+    def is_core(i: int) -> bool:
+        if core[i] < 0:
+            core[i] = weight[beside(i)].sum() >= least
+        return bool(core[i])
+
+    out, seen = [], np.zeros(len(s), bool)
+    for i in np.flatnonzero(own):
+        if not is_core(i):
+            out += [(i, 2, j) for j in beside(i) if is_core(j)]
+        elif not seen[i]:
+            seen[i], stack, reached = True, [i], set()
+            while stack:
+                at = stack.pop()
+                out.append((at, 0, i))
+                for j in beside(at):
+                    if not is_core(j):
+                        continue
+                    if not own[j]:
+                        reached.add(j)
+                    elif not seen[j]:
+                        seen[j] = True
+                        stack.append(j)
+            out += [(j, 1, i) for j in reached]
+    at, kind, to = (np.array(c, np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+    return pd.DataFrame({"video_id": pd.Series([pdf["video_id"].iloc[0]] * len(at), dtype=object), "x": xy[at, 0], "y": xy[at, 1], "kind": kind, "to_x": xy[to, 0], "to_y": xy[to, 1]})
+
+
+def _smallest_of_linked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(to_x, to_y) and (ux, uy) are one cluster: the smallest name of each."""
+    root: dict[tuple, tuple] = {}
+
+    def find(a):
+        while root.setdefault(a, a) != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    for a, b, c, d in pdf[["to_x", "to_y", "ux", "uy"]].itertuples(index=False, name=None):
+        low, high = sorted((find((a, b)), find((c, d))))
+        root[high] = low
+    found = [(*k, *find(k)) for k in list(root)]
+    return pd.DataFrame(found, columns=["to_x", "to_y", "root_x", "root_y"]).assign(video_id=pd.Series([pdf["video_id"].iloc[0]] * len(found), dtype=object))[["video_id", "to_x", "to_y", "root_x", "root_y"]]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = np.stack([(pdf["x_min"] + pdf["x_max"]) / 2, (pdf["y_min"] + pdf["y_max"]) / 2], 1)
-        return pdf.assign(cluster=density_scan(xy, (eps_x, eps_y), least))
 
-    return boxes.groupBy("video_id").applyInPandas(run, f"{boxes.schema.toDDL()}, cluster int")
+def density_clusters(boxes: DataFrame, eps_x: float, eps_y: float, least: int = 5) -> DataFrame:
+    """boxes with `cluster` (-1: noise), by density of their centres per video.
+
+    A video is cut into tiles of TILE reaches, each with a border of two, in
+    which the cores are told exactly; clusters that meet in a border are one.
+    Clusters are numbered by their smallest core (x, then y); a box beside
+    cores of several belongs to the first."""
+    x, y = (F.col("x_min") + F.col("x_max")) / 2, (F.col("y_min") + F.col("y_max")) / 2
+    places = boxes.select("video_id", x.alias("x"), y.alias("y")).groupBy("video_id", "x", "y").agg(F.count(F.lit(1)).alias("n")).withColumns({"sx": F.col("x") / eps_x, "sy": F.col("y") / eps_y})
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 2.001) / TILE), F.floor((F.col(c) + 2.001) / TILE)))
+    dealt = places.withColumn("tx", tiles("sx")).withColumn("ty", tiles("sy")).withColumn("own", (F.floor(F.col("sx") / TILE) == F.col("tx")) & (F.floor(F.col("sy") / TILE) == F.col("ty")))
+    kind = boxes.schema["video_id"].dataType.simpleString()
+    # read several times below; Spark keeps it until its cache is cleared
+    found = dealt.groupBy("video_id", "tx", "ty").applyInPandas(lambda pdf: _tile_links(pdf, least), f"video_id {kind}, x double, y double, kind int, to_x double, to_y double").persist()
+
+    def at(left: DataFrame, right: DataFrame, how: str, *names: tuple[str, str]) -> DataFrame:
+        """left with what right has besides the video and the place that both name; a null video is one too."""
+        r = right.withColumnsRenamed({"video_id": "_v", **{b: f"_{b}" for _, b in names}})
+        on = F.col("video_id").eqNullSafe(F.col("_v"))
+        for a, b in names:
+            on &= F.col(a) == F.col(f"_{b}")
+        return left.join(r, on, how).drop("_v", *(f"_{b}" for _, b in names))
+
+    own = found.where("kind = 0").drop("kind")
+    met = at(found.where("kind = 1").select("video_id", "x", "y", "to_x", "to_y"), own.withColumnsRenamed({"to_x": "ux", "to_y": "uy"}), "inner", ("x", "x"), ("y", "y"))
+    roots = met.select("video_id", "to_x", "to_y", "ux", "uy").distinct().groupBy("video_id").applyInPandas(_smallest_of_linked, f"video_id {kind}, to_x double, to_y double, root_x double, root_y double")
+    cores = at(own, roots, "left", ("to_x", "to_x"), ("to_y", "to_y")).select("video_id", "x", "y", F.coalesce("root_x", "to_x").alias("root_x"), F.coalesce("root_y", "to_y").alias("root_y"))
+    numbers = cores.select("video_id", "root_x", "root_y").distinct().withColumn("cluster", F.row_number().over(W.partitionBy("video_id").orderBy("root_x", "root_y")) - 1)
+    cores = at(cores, numbers, "inner", ("root_x", "root_x"), ("root_y", "root_y")).select("video_id", "x", "y", "cluster")
+    beside = at(found.where("kind = 2").select("video_id", F.col("x").alias("bx"), F.col("y").alias("by"), "to_x", "to_y"), cores, "inner", ("to_x", "x"), ("to_y", "y"))
+    label = cores.union(beside.groupBy("video_id", "bx", "by").agg(F.min("cluster").alias("cluster")))
+    known = at(boxes.withColumns({"_cx": x, "_cy": y}), label.withColumnRenamed("cluster", "_c"), "left", ("_cx", "x"), ("_cy", "y"))
+    return known.select(*boxes.columns, F.coalesce("_c", F.lit(-1)).cast("int").alias("cluster"))
 
 
 def cluster_stats(boxes: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def heat_clusters(spark, d):
 
 @query()
 def density_scan(spark, d):
-    return SP.density_clusters(boxes(spark, d).where("frame_idx < 40").select("video_id", "id", "x_min", "y_min", "x_max", "y_max"), 12.0, 8.0).select("video_id", "id", "cluster")
+    return SP.density_clusters(boxes(spark, d).select("video_id", "id", "x_min", "y_min", "x_max", "y_max"), 12.0, 8.0).select("video_id", "id", "cluster")
 
 
 def _starts(spark, d):

@@ -1,8 +1,12 @@
 """Queries read all of their input: whole texts, every row, every size."""
 
 import random
+from collections import Counter
+
+import numpy as np
 
 from cuelake.functions.similarity import token_set_ratio, token_set_ratios
+from cuelake.operators import spatial as SP
 from cuelake.operators import topk as K
 from cuelake.plans import QUERIES
 
@@ -45,3 +49,43 @@ def test_topk_retrieval_fuzzy_reads_whole_texts(spark, tmp_path):
     rows = QUERIES["topk_retrieval_fuzzy"](spark, d).collect()
     best = next(r for r in rows if r["rank"] == 1)
     assert best.conv_id == 2 and best.score == round(token_set_ratio(head + "violet harbour lantern", head + "violet harbor lanterns"), 6)
+
+
+def clusters_one_by_one(points, eps, least):
+    """Labels by the definition: linked cores are one, numbered by their smallest; others join the first beside them."""
+    p = np.array(points) / np.array(eps)
+    near = ((p[:, None] - p[None]) ** 2).sum(2) <= 1
+    core = near.sum(1) >= least
+    label, k = np.full(len(p), -1), 0
+    for i in sorted(range(len(p)), key=lambda i: points[i]):
+        if core[i] and label[i] < 0:
+            stack = [i]
+            while stack:
+                at = stack.pop()
+                if label[at] < 0:
+                    label[at] = k
+                    stack += [j for j in np.flatnonzero(near[at] & core) if label[j] < 0]
+            k += 1
+    return [int(label[i]) if core[i] else min((int(label[j]) for j in np.flatnonzero(near[i] & core)), default=-1) for i in range(len(p))]
+
+
+def test_density_clusters_across_tiles_equal_the_definition(spark):
+    r = random.Random(8)
+    want, rows = {}, []
+    for video, spread in (("a", 300), ("b", 90), (None, 60)):
+        points = [(float(r.randrange(-spread, spread)), float(r.randrange(-spread, spread))) for _ in range(400)] + [(float(x), 0.0) for x in range(-100, 100, 2)]
+        for i, (p, c) in enumerate(zip(points, clusters_one_by_one(points, (6.0, 4.0), 5))):
+            want[video, i] = c
+            rows.append((video, i, p[0] - 1, p[1] - 2, p[0] + 1, p[1] + 2))
+    got = SP.density_clusters(spark.createDataFrame(rows, "video_id string, id long, x_min double, y_min double, x_max double, y_max double"), 6.0, 4.0)
+    assert {(x.video_id, x.id): x.cluster for x in got.collect()} == want
+    assert len(set(want.values())) > 3 and -1 in want.values()
+
+
+def test_density_scan_has_every_box(spark, tmp_path):
+    """Users 40 and on are clustered too, and every box has one row."""
+    d = tables(spark, tmp_path, events=([(i, i % 90, "click") for i in range(900)], "event_id long, user_id long, event_type string"))
+    got = QUERIES["density_scan"](spark, d).collect()
+    assert Counter(r.id for r in got) == Counter(range(900))
+    centre = lambda i: (i * 37 % 500 + (20 + i % 90) / 2, i * 53 % 300 + (8 + i % 17) / 2)
+    assert {r.id: r.cluster for r in got} == dict(enumerate(clusters_one_by_one([centre(i) for i in range(900)], (12.0, 8.0), 5)))
