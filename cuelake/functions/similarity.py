@@ -160,10 +160,20 @@ def token_set_ratios(queries: list[str], texts: list[str], pack: int = 256) -> n
 def edit_operations(a: str, b: str) -> list[tuple[str, int, int]]:
     """One shortest script of (replace | delete | insert, position in a, position in b)."""
     n, m = len(a), len(b)
-    d = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            d[i][j] = min(d[i - 1][j - 1] + (a[i - 1] != b[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
+    if n * m > 2_000:
+        # the same table, a row at a time
+        place, y = np.arange(m + 1), np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+        d = np.zeros((n + 1, m + 1), np.int64)
+        d[0] = place
+        for i in range(1, n + 1):
+            d[i, 0] = i
+            d[i, 1:] = np.minimum(d[i - 1, :-1] + (y != ord(a[i - 1])), d[i - 1, 1:] + 1)
+            d[i] = np.minimum.accumulate(d[i] - place) + place
+    else:
+        d = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                d[i][j] = min(d[i - 1][j - 1] + (a[i - 1] != b[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
     out, i, j = [], n, m
     while i or j:
         if i and j and a[i - 1] == b[j - 1] and d[i][j] == d[i - 1][j - 1]:

@@ -581,12 +581,12 @@ def greedy_iou_match(spark, d):
 
 @query()
 def rover_consensus(spark, d):
-    """One text for each role of a conversation, voted from the first words of its turns."""
+    """One text for each role of a conversation, voted from its turns."""
     import pandas as pd
 
     from ..operators.consensus import vote
 
-    c = read(spark, d, "conversations").select("conv_id", "role", "turn", F.substring("text", 1, 40).alias("text"), F.least(F.lit(1.0), F.length("text") / 400).alias("conf"))
+    c = read(spark, d, "conversations").select("conv_id", "role", "turn", "text", F.least(F.lit(1.0), F.length("text") / 400).alias("conf"))
 
     def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("turn")
@@ -647,5 +647,5 @@ def flicker_cleanup(spark, d):
     from ..config import LIBRARY
     from ..operators import segment as G
 
-    c = cues(spark, d).select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").cast("int").alias("idx"), F.substring("text", 1, 60).alias("text"), "start_sec", F.least(F.col("end_sec"), F.col("start_sec") + 3.9).alias("end_sec"), F.lit(0.9).alias("confidence"), F.lit(5).alias("frame_count"))
+    c = cues(spark, d).select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").cast("int").alias("idx"), "text", "start_sec", F.least(F.col("end_sec"), F.col("start_sec") + 3.9).alias("end_sec"), F.lit(0.9).alias("confidence"), F.lit(5).alias("frame_count"))
     return G.fold_cues(c, lambda own, p: G.drop_echoes(G.merge_repeats(G.absorb_flickers(own, p), p), p), LIBRARY)

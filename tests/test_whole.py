@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from cuelake.functions.similarity import token_set_ratio, token_set_ratios
+from cuelake.functions.similarity import edit_operations, token_set_ratio, token_set_ratios
 from cuelake.operators import spatial as SP
 from cuelake.operators import topk as K
 from cuelake.plans import QUERIES
@@ -89,3 +89,30 @@ def test_density_scan_has_every_box(spark, tmp_path):
     assert Counter(r.id for r in got) == Counter(range(900))
     centre = lambda i: (i * 37 % 500 + (20 + i % 90) / 2, i * 53 % 300 + (8 + i % 17) / 2)
     assert {r.id: r.cluster for r in got} == dict(enumerate(clusters_one_by_one([centre(i) for i in range(900)], (12.0, 8.0), 5)))
+
+
+def test_edit_operations_of_long_texts_equal_the_plain_table():
+    def plain(a, b):
+        d = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j - 1] + (a[i - 1] != b[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
+        return d[len(a)][len(b)]
+
+    r = random.Random(2)
+    for _ in range(10):
+        a, b = ("".join(r.choice("ab é一") for _ in range(r.randint(50, 90))) for _ in range(2))
+        ops = edit_operations(a, b)
+        made = list(a)
+        for kind, i, j in reversed(ops):
+            made[i : i + (kind != "insert")] = [] if kind == "delete" else [b[j]]
+        assert len(ops) == plain(a, b) and "".join(made) == b
+
+
+def test_consensus_and_cleanup_hand_back_whole_texts(spark, tmp_path):
+    head = "these words open each turn of the conversation, all of them alike, "
+    turns = [(1, 1, "user", head + "alpha bravo"), (1, 2, "user", head + "alpha bravo"), (2, 1, "user", head + "xylophones quickly jump over zebras " * 3), (2, 2, "user", head + "mild 1234567890 tuna BOG FEW " * 4)]
+    d = tables(spark, tmp_path, conversations=(turns, "conv_id long, turn int, role string, text string"))
+    assert {r.text for r in QUERIES["rover_consensus"](spark, d).where("conv_id = 1").collect()} == {head + "alpha bravo"}
+    texts = {r.text for r in QUERIES["flicker_cleanup"](spark, d).where("video_id = '2'").collect()}
+    assert texts == {t[3].strip() for t in turns[2:]} or texts == {t[3] for t in turns[2:]}
