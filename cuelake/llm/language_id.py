@@ -12,14 +12,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .common import crc_fold, only
 
 FOLD, HELD_OUT = 4, 2
-#: Rows that the network is fitted on at most, and bytes of each; languages at most.
-SAMPLE_ROWS, SAMPLE_CHARS, MOST_LANGUAGES = 3_000, 600, 200
+#: Rows that the network is fitted on at most, and bytes of each.
+SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 600
 HIDDEN = 8
 WINDOW, CONTEXT = 224, 16
 STEPS, BATCH, TRAIN_BYTES = 260, 128, 48
@@ -138,7 +139,7 @@ class Model:
     """A trained network and the names of its languages."""
 
     def __init__(self, rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 2):
-        self.names = sorted({lang for _, lang in rows})[:MOST_LANGUAGES]
+        self.names = sorted({lang for _, lang in rows})
         self.net = None
         at = {n: i for i, n in enumerate(self.names)}
         texts = [(np.frombuffer(t.encode(), np.uint8), at[lang]) for t, lang in rows if lang in at and len(t) >= 2]
@@ -217,21 +218,21 @@ def _predictions(model: Model):
 
 
 def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """(part of a text, lang) of `rows` documents at most that aren't held out, as many of each language as there are, by a hash of doc_id."""
+    """(part of a text, lang) of `rows` documents at most (ten of each language at least) that aren't held out, as many of each language as there are, by a hash of doc_id."""
     own = only(docs, doc_id="long", text="string", lang="string").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc_id"), FOLD) != HELD_OUT))
-    langs = [r.lang for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    langs = own.select("lang").distinct().count()
     where = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - chars)) + 1
     part = own.select("lang", F.xxhash64(F.lit(9), "doc_id").alias("k"), F.substring("text", where.cast("int"), F.lit(chars)).alias("t"))
-    found = []
-    for lang in sorted(langs):
-        found += [(r.t, lang) for r in part.where(F.col("lang") == lang).orderBy("k", "t").limit(max(10, rows // len(langs))).collect()]
-    return found
+    first = F.row_number().over(W.partitionBy("lang").orderBy("k", "t"))
+    found = part.withColumn("r", first).where(F.col("r") <= max(10, rows // max(1, langs))).collect()
+    return [(r.t, r.lang) for r in sorted(found, key=lambda r: (r.lang, r.r))]
 
 
 def languages(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score.
 
-    The network learns from `rows` documents at most with a language, none held
+    The network learns every language, from `rows` documents at most (but ten of
+    each language, if there are so many), none held
     out (crc32 of doc_id as text, mod 4, is 2), and reads the text alone, whole.
     A text that is null or has no letter is "und" with score 0; so is every text
     if no document has a language.  With one language only, that one is
