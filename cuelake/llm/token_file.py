@@ -20,6 +20,7 @@ by side, one table lookup per id.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -29,14 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import textkernel as tk
-from .common import cut, only, small_side
+from .common import cut, drop_cut, only, partitions, small_side
 
 END_ID = 0
 MOST_BITS = 18
 CHECKPOINT_TOKENS = 128
 BLOCK_TOKENS = 1 << 17
-#: Distinct pieces of text whose ids a worker remembers.
-MEMORY_PIECES = 600_000
+#: Distinct pieces of text whose ids a worker remembers in each of two generations, and pieces that the library gets at once.
+MEMORY_PIECES, JOINED_PIECES = 500_000, 1_000
+#: Ids of one partition of a file, about.
+PART_TOKENS = 1 << 22
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -45,109 +48,180 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Ids of whole texts by the tokenizers library, which sees each distinct piece once.
-
-    This vocabulary's byte-level pre-tokenizer never joins a space and what
-    stands before it if neither neighbour of that single space is white space, so
-    a text may be encoded piece by piece, cut before such spaces.  Pieces are
-    told apart by 64-bit hashes of their bytes.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.forget()
+class Memory:
+    """Ids of pieces by key.  Sorted keys, places and counts of ids: a large level, and a small one that new pieces go to."""
 
-    def forget(self):
+    def __init__(self):
         none = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
-        # sorted keys, places and counts of ids: a large level, and a small one that new pieces go to
         self.levels = [none, none]
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
+
+    def __len__(self) -> int:
+        return sum(len(keys) for keys, _, _ in self.levels)
 
-    def _find(self, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place and count of ids of each piece; count -1 for pieces not seen yet."""
-        at, count = np.zeros(len(name), np.int64), np.full(len(name), -1)
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and count of ids of each piece; count -1 for pieces not held."""
+        at, count = np.zeros(len(key), np.int32), np.full(len(key), -1, np.int32)
         for keys, places, counts in self.levels:
             if len(keys):
-                i = np.minimum(np.searchsorted(keys, name), len(keys) - 1)
-                hit = keys[i] == name
+                i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[i] == key
                 at[hit], count[hit] = places[i[hit]], counts[i[hit]]
         return at, count
 
-    def _learn(self, name: np.ndarray, found: list[list[int]]) -> None:
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        need = self.used + int(count.sum())
+    def add(self, key: np.ndarray, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Takes distinct pieces that it doesn't hold yet; ids are those of all of them in turn."""
+        need = self.used + len(ids)
+        if ids.max(initial=0) > 0xFFFF:
+            self.ids = self.ids.astype(np.uint32)
         if need > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(need + need // 4 - self.used, np.uint32)])
-        self.ids[self.used : need] = np.fromiter((i for f in found for i in f), np.uint32, need - self.used)
-        at = self.used + np.cumsum(count) - count
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(need + need // 4 - self.used, self.ids.dtype)])
+        self.ids[self.used : need] = ids
+        at = (self.used + np.cumsum(count) - count).astype(np.int32)
         self.used = need
-        self.levels[1] = _merged(self.levels[1], (name, at.astype(np.int32), count.astype(np.int32)))
+        self.levels[1] = _merged(self.levels[1], (key, at, count))
         if len(self.levels[1][0]) > max(1 << 16, len(self.levels[0][0]) // 4):
             self.levels = [_merged(*self.levels), tuple(x[:0] for x in self.levels[1])]
+        return at, count
+
+
+def _merged(a, b):
+    """Two levels as one, sorted by key."""
+    keys, *rest = (np.concatenate(x) for x in zip(a, b))
+    order = np.argsort(keys, kind="stable")
+    return (keys[order], *(x[order] for x in rest))
+
+
+#: No white space but one leading space; Python counts a few more characters as white space than the pre-tokenizer does.
+_JOINABLE = re.compile(r" ?\S+").fullmatch
+
+
+class Encoder:
+    """Ids of whole texts by the tokenizers library, which sees each distinct piece once.
+
+    Texts are cut into pieces at places where this vocabulary's byte-level
+    pre-tokenizer cuts too, whatever else stands around them (see _pieces), so a
+    piece has the same ids wherever it stands.  Pieces are told apart by 64-bit
+    hashes of their bytes.  Ids are remembered in two generations: a young one
+    that is full becomes the old one, whose pieces come back to the young one
+    when they are seen again, so common pieces are never forgotten.
+    """
+
+    def __init__(self, path: str, memory: int | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tok.get_vocab()
+        # a token is written with one character for each of its bytes
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int32)
+        self.token_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.memory = memory or MEMORY_PIECES
+        self.young, self.old = Memory(), Memory()
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids of the texts in turn, ids of each text)."""
-        n = len(offsets) - 1
         if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+            return np.zeros(0, np.uint16), np.zeros(len(offsets) - 1, np.int64)
         starts = self._pieces(data, offsets)
-        lengths = np.diff(np.concatenate([starts, [len(data)]]))
-        position = np.arange(len(data)) - np.repeat(starts, lengths)
-        value = tk.BYTE_VALUE[data]
-        value *= tk.position_multipliers(int(lengths.max()))[position]
-        key = tk.mix(np.add.reduceat(value, starts) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        name, first, which = np.unique(key, return_index=True, return_inverse=True)
-        at, count = self._find(name)
+        ends = np.append(starts, len(data)).astype(np.int32)
+        # Arrow finds the distinct pieces; the buffers are shared, not copied
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        which = pieces.indices.to_numpy()
+        at, count = self._look_up(pieces.dictionary)
+        at, count = at[which], count[which]
+        total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        place = np.arange(total[-1], dtype=np.int32)
+        place += np.repeat(at - total[:-1].astype(np.int32), count)
+        return self.young.ids[place], np.diff(total[np.searchsorted(starts, offsets)])
+
+    def _look_up(self, names: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the young generation, and count of ids, of distinct pieces."""
+        if len(self.young) > self.memory:
+            self.young, self.old = Memory(), self.young
+        _, where, raw = names.buffers()
+        where = np.frombuffer(where, np.int32, len(names) + 1)
+        lengths = np.diff(where)
+        value = tk.BYTE_VALUE[np.frombuffer(raw, np.uint8, where[-1])]
+        value *= tk.position_multipliers(int(lengths.max()))[np.arange(where[-1], dtype=np.int32) - np.repeat(where[:-1], lengths)]
+        key = tk.mix(np.add.reduceat(value, where[:-1]) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        at, count = self.young.find(key)
         new = np.flatnonzero(count < 0)
         if len(new):
-            if sum(len(k) for k, _, _ in self.levels) + len(new) > MEMORY_PIECES:
-                self.forget()
-                new = np.arange(len(name))
-            raw = data.tobytes()
-            texts = [raw[s : s + k].decode() for s, k in zip(starts[first[new]].tolist(), lengths[first[new]].tolist())]
-            self._learn(name[new], [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
-            at, count = self._find(name)
-        at, count = at[which], count[which]
-        ids = self.ids[tk.spread(at, count)]
-        piece = np.searchsorted(starts, offsets)
-        return ids, np.diff(np.concatenate([[0], np.cumsum(count)])[piece])
+            old_at, old_count = self.old.find(key[new])
+            seen = old_count >= 0
+            if seen.any():
+                again = new[seen]
+                at[again], count[again] = self.young.add(key[again], self.old.ids[tk.spread(old_at[seen], old_count[seen])], old_count[seen])
+            new = new[~seen]
+            if len(new):
+                at[new], count[new] = self.young.add(key[new], *self._tokenise(names.take(pa.array(new)).cast(pa.string()).to_pylist()))
+        return at, count
+
+    def _tokenise(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct pieces in turn, ids of each).
+
+        Most are joined and encoded many at once: a line feed between pieces
+        without inner white space is always a token by itself, and the tokens'
+        lengths tell where each piece ends."""
+        joined = [bool(_JOINABLE(t)) for t in texts]
+        found: list = [None] * len(texts)
+        line = np.flatnonzero(joined)
+        for a in range(0, len(line), JOINED_PIECES):
+            own = line[a : a + JOINED_PIECES].tolist()
+            ids = np.array(self.tok.encode_batch_fast(["\n".join([texts[i] for i in own])], add_special_tokens=False)[0].ids, np.uint32)
+            until = np.cumsum(self.token_bytes[ids])
+            stop = np.cumsum([len(texts[i].encode()) + 1 for i in own]) - 1
+            last = np.minimum(np.searchsorted(until, stop), len(until) - 1)
+            if (until[last] == stop).all() and until[-1] == stop[-1]:
+                for i, f, e in zip(own, [0, *(last[:-1] + 2).tolist()], (last + 1).tolist()):
+                    found[i] = ids[f:e]
+        rest = [i for i, f in enumerate(found) if f is None]
+        for i, e in zip(rest, self.tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            found[i] = np.array(e.ids, np.uint32)
+        return np.concatenate(found), np.fromiter(map(len, found), np.int32, len(found))
 
     @staticmethod
     def _pieces(data, offsets):
-        """First bytes of the pieces: text starts, and single spaces between two bytes that aren't white space.
-
-        A space before a character beyond ASCII is a border only if no byte of
-        it can be part of white space beyond ASCII, whose first bytes are C2, E1,
-        E2 and E3; likewise the character before it, by its last three bytes.
+        """First bytes of the pieces.
+
+        A piece begins where a text begins; at a single space between two bytes
+        that aren't white space; at and after a single line feed between two such
+        bytes; where an ASCII letter or digit is followed by an ASCII character of
+        another kind (letter, digit, sign), since runs of letters and of digits
+        never reach over that.  A byte beyond ASCII isn't white space if it is no
+        C2, E1, E2 or E3 (the first bytes of white space beyond ASCII) or, as the
+        last byte of a character, follows a byte C3 to DF.
         """
         n = len(data)
-        cut = np.zeros(n, bool)
-        plain = (data > 0x20) & (data < 0x7F)
+        cut = np.zeros(n + 1, bool)
         if n > 2:
-            after = plain | ((data >= 0xC3) & ~np.isin(data, (0xE1, 0xE2, 0xE3)))
-            last = plain.copy()
-            # a two-byte character C3 to DF in front of the space isn't white space
+            kind = _KIND[data]
+            cut[1:n] = (kind[:-1] <= 2) & (kind[1:] <= 3) & (kind[:-1] != kind[1:])
+            after = kind <= 4
+            last = kind <= 3
             last[1:] |= (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
-            cut[1:-1] = (data[1:-1] == 0x20) & last[:-2] & after[2:]
-        borders = offsets[:-1][np.diff(offsets) > 0]
-        cut[borders] = True
-        # the space itself may be a text's last byte or stand after one that ends another text
-        ends = offsets[1:][np.diff(offsets) > 0] - 1
-        lone = ends[~np.isin(ends, borders)]
-        cut[lone] = False
-        return np.flatnonzero(cut)
-
-
-def _merged(a, b):
-    """Two levels as one, sorted by key."""
-    keys, *rest = (np.concatenate(x) for x in zip(a, b))
-    order = np.argsort(keys, kind="stable")
-    return (keys[order], *(x[order] for x in rest))
+            between = last[:-2] & after[2:]
+            cut[1 : n - 1] |= (data[1:-1] == 0x20) & between
+            line = np.flatnonzero((data[1:-1] == 0x0A) & between) + 1
+            cut[line] = True
+            cut[line + 1] = True
+        some = np.diff(offsets) > 0
+        # a space that ends a text doesn't stand between two bytes of it
+        lone = offsets[1:][some] - 1
+        cut[lone[data[lone] == 0x20]] = False
+        cut[offsets[:-1][some]] = True
+        return np.flatnonzero(cut[:n])
+
+
+#: Kinds of bytes: 1 letter, 2 digit, 3 sign (ASCII), 4 what begins a character beyond ASCII other than white space, 5 any other.
+_KIND = np.full(256, 5, np.uint8)
+for _b in range(256):
+    if 0x21 <= _b < 0x7F:
+        _KIND[_b] = 1 if chr(_b).isalpha() else 2 if chr(_b).isdigit() else 3
+    elif _b >= 0xC3 and _b not in (0xE1, 0xE2, 0xE3):
+        _KIND[_b] = 4
 
 
 _encoders: dict[str, Encoder] = {}
@@ -162,18 +236,26 @@ def encoder(path: str) -> Encoder:
 def _tokenise(path: str, end_id: int):
     def run(batches):
         enc = encoder(path)
+        total = np.zeros(len(enc.token_bytes), np.int64)
         for batch in batches:
             counts, blobs = np.zeros(len(batch), np.int64), [b""] * len(batch)
             for first, end, data, offsets in tk.text_slices(batch.column("text")):
                 ids, n = enc.encode(data, offsets)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                wide = ids.max(initial=end_id) > 0xFFFF
-                ids = ids.astype("<u4" if wide else "<u2")
+                total += np.bincount(ids, minlength=len(total))
+                total[end_id] += end - first
+                if ids.max(initial=end_id) > 0xFFFF:
+                    ids = ids.astype("<u4")
+                width = ids.dtype.itemsize
+                raw, stops = ids.tobytes(), (np.cumsum(n) * width).tolist()
                 tail = np.array([end_id], ids.dtype).tobytes()
-                for i in range(end - first):
-                    blobs[first + i] = ids[ends[i] : ends[i + 1]].tobytes() + tail
+                a = 0
+                for i, b in enumerate(stops, first):
+                    blobs[i] = raw[a:b] + tail
+                    a = b
                 counts[first:end] = n + 1
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(blobs, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(blobs, pa.binary()), pa.nulls(len(batch), pa.binary())], names=["doc_id", "n_tokens", "ids", "id_counts"])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["doc_id", "n_tokens", "ids", "id_counts"])
 
     return run
 
@@ -182,16 +264,16 @@ def _ids(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4")
 
 
-def _count_ids(batches):
-    total = np.zeros(0, np.int64)
+def _added_counts(batches):
+    """The sum of all counts of a partition, by id."""
+    total = None
     for batch in batches:
-        for blob, n in zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist()):
-            own = np.bincount(_ids(blob, n))
-            if len(own) > len(total):
-                total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
-            total[: len(own)] += own
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
+        for blob in batch.column("id_counts").to_pylist():
+            own = np.frombuffer(blob, np.int64)
+            total = own if total is None else total + own
+    if total is not None:
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
 
 def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
@@ -290,10 +372,10 @@ def _encode_blocks(lengths: np.ndarray):
     codes = canonical_codes(lengths)
 
     def block(part, number, docs, sizes, ids):
-        ids = np.concatenate(ids)
+        sizes, ids = np.concatenate(sizes), np.concatenate(ids)
         bits, checkpoints = pack_bits(ids, lengths, codes)
         return pa.RecordBatch.from_arrays(
-            [pa.array([x], t) for x, t in ((part, pa.int32()), (number, pa.int32()), (np.array(docs, "<i8").tobytes(), pa.binary()), (np.array(sizes, "<i8").tobytes(), pa.binary()), (len(ids), pa.int64()), (bits, pa.binary()), (checkpoints.astype("<i8").tobytes(), pa.binary()))],
+            [pa.array([x], t) for x, t in ((part, pa.int32()), (number, pa.int32()), (np.concatenate(docs).tobytes(), pa.binary()), (sizes.astype("<i8").tobytes(), pa.binary()), (len(ids), pa.int64()), (bits, pa.binary()), (checkpoints.astype("<i8").tobytes(), pa.binary()))],
             names=["part", "block", "doc_ids", "doc_tokens", "n_tokens", "bits", "checkpoints"],
         )
 
@@ -303,11 +385,20 @@ def _encode_blocks(lengths: np.ndarray):
         part, number = TaskContext.get().partitionId(), 0
         docs, sizes, ids, held = [], [], [], 0
         for batch in batches:
-            for doc, n, blob in zip(batch.column("doc_id").to_pylist(), batch.column("n_tokens").to_pylist(), batch.column("ids").to_pylist()):
-                docs.append(-(2**63) if doc is None else doc)
-                sizes.append(n)
-                ids.append(_ids(blob, n))
-                held += n
+            doc = batch.column("doc_id").cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+            n = batch.column("n_tokens").to_numpy()
+            ends = np.cumsum(n)
+            flat = _batch_ids(batch.column("ids"), n)
+            a = 0
+            while a < len(n):
+                # rows up to the one that fills the block
+                base = int(ends[a - 1]) if a else 0
+                b = min(len(n), int(np.searchsorted(ends, base + BLOCK_TOKENS - held)) + 1)
+                docs.append(doc[a:b])
+                sizes.append(n[a:b])
+                ids.append(flat[base : int(ends[b - 1])])
+                held += int(ends[b - 1]) - base
+                a = b
                 if held >= BLOCK_TOKENS:
                     yield block(part, number, docs, sizes, ids)
                     number += 1
@@ -318,6 +409,15 @@ def _encode_blocks(lengths: np.ndarray):
     return run
 
 
+def _batch_ids(column: pa.BinaryArray, n: np.ndarray) -> np.ndarray:
+    """All ids of some rows, in turn; rows may be of two or four bytes an id."""
+    _, where, raw = column.buffers()
+    where = np.frombuffer(where, np.int32, len(column) + 1, column.offset * 4)
+    if (np.diff(where) == 2 * n).all():
+        return np.frombuffer(raw, "<u2", int(n.sum()), int(where[0]))
+    return np.concatenate([_ids(blob, k) for blob, k in zip(column.to_pylist(), n.tolist())]).astype(np.uint32)
+
+
 BLOCK_SCHEMA = "part int, block int, doc_ids binary, doc_tokens binary, n_tokens long, bits binary, checkpoints binary"
 
 
@@ -330,25 +430,24 @@ def write_token_file(docs: DataFrame, path: str | None = None, end_id: int = END
     """
     spark = docs.sparkSession
     path = path or tokenizer_path()
-    tokens = cut(only(docs, doc_id="long", text="string").mapInArrow(_tokenise(path, end_id), "doc_id long, n_tokens long, ids binary"), "tokens")
-    # one row per id of the vocabulary, however much text there is
-    counted = tokens.mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    tokens = only(docs, doc_id="long", text="string").mapInArrow(_tokenise(path, end_id), "doc_id long, n_tokens long, ids binary, id_counts binary")
+    tokens = cut(tokens.withColumn("tie", F.hash("ids")), "tokens")
+    # each task has left one row of counts by id; no more than one row per id of the vocabulary comes here
+    counted = tokens.where("id_counts is not null").select("id_counts").mapInArrow(_added_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = np.asarray(counted.column("id")), np.asarray(counted.column("n"))
     counts = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
     counts[ids] = n
     lengths = code_lengths(counts)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = tokens.withColumn("tie", F.hash("ids")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    parts = partitions(spark, int(counts.sum()), PART_TOKENS)
+    placed = tokens.where("ids is not null").select("doc_id", "n_tokens", "ids", "tie").repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     blocks = cut(placed.mapInArrow(_encode_blocks(lengths), BLOCK_SCHEMA), "blocks")
     some = np.flatnonzero(lengths)
     table = cut(spark.createDataFrame(pa.table({"id": pa.array(some), "length": pa.array(lengths[some].astype(np.int32))}), "id long, length int"), "lengths")
-    from .common import drop_cut
-
     drop_cut(tokens)
     return blocks, table
 
 
-def _decode(lengths: np.ndarray):
+def _decode(lengths: np.ndarray, with_ids: bool):
     def run(batches):
         decoder = Decoder(lengths)
         for batch in batches:
@@ -356,18 +455,18 @@ def _decode(lengths: np.ndarray):
                 ids = decoder.unpack(row["bits"], np.frombuffer(row["checkpoints"], "<i8"), row["n_tokens"])
                 docs, sizes = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["doc_tokens"], "<i8")
                 ends = np.cumsum(sizes)
-                raw = ids.astype("<u4").tobytes()
-                crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, mask=docs == -(2**63)), pa.array(row["before"] + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64()), pa.array([raw[4 * (e - s) : 4 * e] for s, e in zip(sizes.tolist(), ends.tolist())], pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                own = [raw[4 * (e - s) : 4 * e] for s, e in zip(sizes.tolist(), ends.tolist())]
+                columns = [pa.array(docs, mask=docs == -(2**63)), pa.array(row["before"] + ends - sizes), pa.array(sizes), pa.array(list(map(zlib.crc32, own)), pa.int64())]
+                if with_ids:
+                    columns.append(pa.array(list(map(bytes, own)), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     return run
 
 
-def read_token_file(blocks: DataFrame, lengths: DataFrame) -> DataFrame:
-    """One row per document of the file: doc_id, start, n_tokens, ids_crc32, ids (uint32 little-endian)."""
+def read_token_file(blocks: DataFrame, lengths: DataFrame, with_ids: bool = True) -> DataFrame:
+    """One row per document of the file: doc_id, start, n_tokens, ids_crc32 and, unless left out, ids (uint32 little-endian)."""
     found = lengths.toArrow()
     ids = np.asarray(found.column("id"))
     own = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint8)
@@ -378,9 +477,10 @@ def read_token_file(blocks: DataFrame, lengths: DataFrame) -> DataFrame:
     inside = F.coalesce(F.sum("n_tokens").over(W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = blocks.select("part", "block", inside.alias("inside")).join(small_side(parts), "part").select("part", "block", (F.col("part_before") + F.col("inside")).alias("before"))
     placed = blocks.join(small_side(starts), ["part", "block"])
-    return placed.select("doc_ids", "doc_tokens", "n_tokens", "bits", "checkpoints", "before").mapInArrow(_decode(own), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    return placed.select("doc_ids", "doc_tokens", "n_tokens", "bits", "checkpoints", "before").mapInArrow(_decode(own, with_ids), schema)
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per row of docs, from the written file: doc_id, start, n_tokens, ids_crc32."""
-    return read_token_file(*write_token_file(docs, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_token_file(*write_token_file(docs, path), with_ids=False)
