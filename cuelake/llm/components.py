@@ -7,19 +7,17 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop_cut
 
-MAX_ROUNDS = 60
-
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) long pairs -> (node, root): root is the smallest node reachable.
 
     Each round hooks every node's neighbours to its smallest neighbour (Kiveris
     et al., "Connected Components in MapReduce and Beyond"); edges never grow in
-    number and the table is rewritten in the shared folder each round.  Loops
-    and null ends are ignored.
+    number and the table is rewritten in the shared folder each round, until a
+    round changes nothing.  Loops and null ends are ignored.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -42,7 +42,7 @@ l as (select a, b from e join n na on na.doc_id = a join n nb on nb.doc_id = b w
 r as (select doc_id node, doc_id reached from documents union select r.node, l.b from r join l on l.a = r.reached),
 c as (select doc_id, md5(string_agg(g, '|' order by g)) h from s group by 1),
 z as (select h, count(*) k from c group by 1)
-select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, (select min(reached) from r where node = d.doc_id) component_id, coalesce(z.k, 1)::bigint class_size
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, (select min(reached) from r where node = d.doc_id) component_id, coalesce(z.k, 1)::bigint class_size, (select count(*) from l where l.a = d.doc_id) n_links
 from d left join n using (doc_id) left join c using (doc_id) left join z using (h)"""
 
 op5_benchmark_decontamination = rf"""

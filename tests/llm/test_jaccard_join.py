@@ -16,9 +16,10 @@ def shingles(text):
     return frozenset([tuple(w)]) if len(w) < 5 else frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
 
 
-def brute(rows):
+def brute(rows, num=75, den=100):
+    """[(doc_id, shingles, smallest doc_id reachable, links)] row by row; rows with a doc_id only."""
     sets = [(i, shingles(t)) for i, t in rows]
-    root = {i: i for i, _ in rows}
+    root, links = list(range(len(rows))), [0] * len(rows)
 
     def find(x):
         while root[x] != x:
@@ -27,12 +28,22 @@ def brute(rows):
 
     for a in range(len(sets)):
         for b in range(a):
-            (i, s), (j, t) = sets[a], sets[b]
+            s, t = sets[a][1], sets[b][1]
             both = len(s & t)
-            if s and t and 100 * both >= 75 * (len(s) + len(t) - both):
-                x, y = sorted((find(i), find(j)))
+            if s and t and den * both >= num * (len(s) + len(t) - both):
+                links[a] += 1
+                links[b] += 1
+                x, y = sorted((find(a), find(b)))
                 root[y] = x
-    return {(i, len(s), find(i)) for i, s in sets}
+    least = {}
+    for a, (i, _) in enumerate(sets):
+        least[find(a)] = min(i, least.get(find(a), i))
+    return sorted((i, len(s), least[find(a)], links[a]) for a, (i, s) in enumerate(sets))
+
+
+def found(spark, rows):
+    got = similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got)
 
 
 def corpus(seed, families=12):
@@ -57,24 +68,46 @@ def corpus(seed, families=12):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_components_equal_brute_force(spark, seed, monkeypatch):
+def test_components_equal_brute_force(spark, seed):
     with_package_path(spark)
     rows = corpus(seed)
-    got = similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows)
-    assert len(got) == len(rows)
+    assert found(spark, rows) == brute(rows)
 
 
-def test_many_clusters_of_one_group(spark, monkeypatch):
-    """Groups cut in small parts and small index blocks give the same components."""
+def small_parts(monkeypatch):
     import cuelake.llm.jaccard_join as j
 
+    for name, value in {"CLUSTER_SETS": 3, "PAIR_SETS": 2, "PAIR_TOKENS": 100, "LIST_PART": 4, "LIST_BLOCK": 3, "BLOCK_TOKENS": 500, "RANGE_TOKENS": 300, "TASK_TOKENS": 2_000}.items():
+        monkeypatch.setattr(j, name, value)
+
+
+def test_many_clusters_of_one_group(spark, monkeypatch):
+    """Groups, index lists and pairs cut in small parts give the same components and links."""
     with_package_path(spark)
-    monkeypatch.setattr(j, "CLUSTER_SETS", 3)
-    monkeypatch.setattr(j, "PAIRS_AT_ONCE", 2)
+    small_parts(monkeypatch)
     rows = corpus(7, 8)
-    got = j.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows)
+    assert found(spark, rows) == brute(rows)
+
+
+def test_one_doc_id_with_different_texts(spark):
+    """A row is told by doc_id and text: no text is lost because another row has its doc_id."""
+    r = random.Random(3)
+    a, b, c = (" ".join(r.choice("abcdefghij") + str(r.randrange(900)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (9, b + " more"), (9, c), (9, c), (12, c + " end"), (5, "x y"), (7, "x y")]
+    assert found(spark, rows) == brute(rows)
+    kept = keep_first_of_component(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted([(1, a), (5, b), (9, c), (5, "x y")])
+
+
+@pytest.mark.parametrize("share", [0.7, 0.8, 0.86])
+def test_templates_about_the_threshold(spark, monkeypatch, share):
+    """All texts share most of their words; below, at and above what links them.  Index lists are as long as the table."""
+    small_parts(monkeypatch)
+    r = random.Random(int(share * 100))
+    common = [f"c{i}" for i in range(int(100 * share))]
+    rows = [(i, " ".join(common + [f"v{r.randrange(40)}_{k}" for k in range(100 - len(common))])) for i in range(60)]
+    rows += [(100 + i, " ".join(rows[i][1].split()[:-2] + ["z", str(i)])) for i in range(30)]
+    assert found(spark, rows) == brute(rows)
 
 
 def test_nulls_repeats_empty_and_extra_columns(spark):
