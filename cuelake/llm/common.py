@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a join side that is sent to every executor at most; larger sides are shuffled.
-BROADCAST_ROWS = 400_000
+#: Rows and bytes of a join side that is sent to every executor at most; larger sides are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16 << 20
+#: Rows of one key that a task of a salted join gets, about.
+SALTED_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -73,9 +75,35 @@ def only(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in types.items()))
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if a count shows at most `limit` rows; otherwise df as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it is shown to have `limit` rows and `most` bytes at most; otherwise df as it is, for a shuffled join."""
+    size = F.lit(0).cast("long")
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size += F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif kind in ("array", "map", "struct"):
+            size += F.coalesce(F.octet_length(F.to_json(F.struct(c.alias("c")))), F.lit(0))
+        else:
+            size += 16
+    rows, held = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return F.broadcast(df) if rows <= limit and (held or 0) <= most else df
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str, each: int = SALTED_ROWS) -> DataFrame:
+    """many inner join few on a key that few holds once.  Where few isn't small, a key that `many` holds often is dealt over
+    tasks of `each` rows about, and few's row for it is repeated as often."""
+    side = small_side(few)
+    if side is not few:
+        return many.join(side, key)
+    many = cut(many, "many")
+    hot = small_side(cut(many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / each).alias("_salts")).where("_salts > 1"), "hot"))
+    rest = [c for c in many.columns if c != key]
+    left = many.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("_salts")), F.lit(0).cast("long"))).drop("_salts")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1).cast("long")) - 1))
+    right = few.join(hot, key, "left").withColumn("_salt", copies).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
 
 
 def partitions(spark: SparkSession, rows: float, rows_each: float) -> int:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cuelake.llm import decontaminate, language_id, mixing, quality_knn, quality_rules, secrets, sharding, token_file, toxicity
+from cuelake.llm import common, decontaminate, language_id, mixing, quality_knn, quality_rules, secrets, sharding, token_file, toxicity
 from cuelake.llm import textkernel as tk
 from cuelake.llm.common import with_package_path
 
@@ -112,7 +112,7 @@ def test_sharding(docs, empty):
     assert sharding.byte_shards(empty).count() == 0
 
 
-def test_decontamination(spark, docs, empty):
+def test_decontamination(spark, docs, empty, monkeypatch):
     texts = [t for _, t, *_ in corpus() if t and len(t.split()) > 30][:5]
     items = [(1, " ".join(texts[0].split()[5:25])), (2, " ".join(texts[1].upper().split()[3:16])), (3, "the river"), (10, texts[2]), (10, "x y x y x y x y x y x y x y"), (4, None), (None, "a b"), (5, "..."), (6, "never seen words at all in here")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -133,19 +133,47 @@ def test_decontamination(spark, docs, empty):
                     found |= own
         want[(doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w))] += 1
     assert by_id(decontaminate.contamination(docs, bench).collect()) == want
-    assert by_id(decontaminate.contamination(docs, bench, block_words=5).collect()) == want  # in several blocks
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 1 << 10)  # a filter that passes nearly all, and a salted join without broadcast
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "small_side", lambda df: df)
+    monkeypatch.setattr(common, "small_side", lambda df: df)
+    monkeypatch.setattr(decontaminate, "salted_join", lambda many, few, key: common.salted_join(many, few, key, 2))
+    assert by_id(decontaminate.contamination(docs, bench).collect()) == want
+    monkeypatch.undo()
     assert decontaminate.contamination(empty, bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
     kept = decontaminate.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns and kept.count() == sum(v for k, v in want.items() if not k[5] or k[0] is None)
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == +sum((Counter({k[0]: v}) for k, v in want.items() if not k[5]), Counter())
 
 
-def test_winnowing_keeps_every_neighbourhood():
+def test_equal_windows_have_equal_fingerprints():
     r = np.random.default_rng(1)
-    for _ in range(200):
-        h = r.integers(0, 5, r.integers(0, 40)).astype(np.uint64)
-        kept = decontaminate.winnow(h, 6)
-        assert all(((kept >= i) & (kept < i + 6)).any() for i in range(len(h) - 5))
+    for _ in range(50):
+        h = tk.mix(r.integers(0, 5, r.integers(14, 60)).astype(np.uint64))
+        marks, runs = decontaminate.fingerprints(tk.grams(h, 8), 6), tk.grams(h, 8)
+        assert len(marks) == len(h) - 12 and all(marks[i] == runs[i : i + 6].min() for i in range(len(marks)))
+        at = np.arange(len(marks))
+        assert (decontaminate.window_at(h, at, 13) == tk.grams(h, 13)).all()
+
+
+def test_one_passage_in_many_items_and_documents(spark):
+    """Items that all hold one passage, and documents that hold parts of it: lists of items are united once per combination."""
+    passage = [f"p{i}" for i in range(40)]
+    items = [(f"i{k:04d}", " ".join([f"own{k}x{j}" for j in range(5)] + passage)) for k in range(1500)] + [("one", "p3 p4")]
+    rows = [(i, " ".join(passage[i % 20 : i % 20 + 15] + [f"w{i}"] * (i % 3 * 400))) for i in range(300)] + [(None, " ".join(passage)), (7, "clean words")]
+    bench, docs = spark.createDataFrame(items, "item_id string, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.contamination(docs, bench).collect()
+    everything = hashlib.sha256(",".join(sorted(i for i, _ in items[:-1])).encode()).hexdigest()
+    both = hashlib.sha256(",".join(sorted(i for i, _ in items)).encode()).hexdigest()
+    for r in got:
+        if r.doc_id is None or r.doc_id == 7 and r.n_words == 2:
+            assert r.n_hit == (40 if r.doc_id is None else 0)
+            continue
+        with_short = r.doc_id % 20 <= 3
+        assert r.n_hit == 15 and r.items_sha256 == (both if with_short else everything) and r.n_items == 1500 + with_short
+        assert r.contaminated == (300 >= r.n_words)
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([7] + [i for i in range(300) if 15 + i % 3 * 400 > 300])
 
 
 def test_token_file(docs, empty):
