@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16 << 20
 #: Rows of one key that a task of a salted join gets, about.
 SALTED_ROWS = 100_000
+#: Rows of one range partition, about.
+RANGE_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -128,7 +130,7 @@ def prefix_sums(df: DataFrame, order: list, sums: dict[str, str], group: str | N
     """
     spark = df.sparkSession
     keys = ([group] if group else []) + order
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(spark, df.count(), RANGE_ROWS)
     placed = cut(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "ranges")
     by = ["_part"] + ([group] if group else [])
     totals = placed.groupBy(*by).agg(*(F.sum(v).alias(f"_total_{v}") for v in sums))

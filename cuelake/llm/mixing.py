@@ -21,11 +21,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
 SEED = 17
-#: A source whose taken words miss its target by more than this share is refilled, in so many rounds at most.
-LOOSE, REFILLS = 0.01, 4
+#: A source whose taken words miss its target by more than this share is refilled.
+LOOSE = 0.01
 _ORDER = ["key", "doc_id", "text_hash"]
-#: Sources whose targets the driver works out at most; more are worked out in one sorted pass on the cluster.
-DRIVER_SOURCES = 200_000
 
 _JUNK = tk.byte_table(b"#*$%&|<>")
 
@@ -42,46 +40,28 @@ def _sizes(batches):
             junk = sums(_JUNK[data], offsets) / np.maximum(np.diff(offsets), 1)
             same = np.zeros(len(hashes), np.int64)
             same[1:] = hashes[1:] == hashes[:-1]
+            same[word_of[:-1][n > 0]] = 0  # a text's first word has no forerunner
             weight[first:end] = np.maximum(0.05, (1 - np.minimum(1, 5 * junk)) * (1 - sums(same, word_of) / np.maximum(n, 1)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("text_hash"), pa.array(size), pa.array(weight)], names=["doc_id", "source", "text_hash", "size", "weight"])
 
 
-def source_targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> dict:
-    """{source: target}.  Sources by code point, null last, weigh weights[0], [1], ... in turn; together they get `share` of all
-    sizes, each at most `most` times its own size; what that leaves over is shared by weight among the others until none is above."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = np.array([weights[i % len(weights)] for i in range(len(order))], float)
-    cap = np.array([most * n for _, n in order], float)
-    target, free, left = np.zeros(len(order)), np.ones(len(order), bool), share * sum(n for _, n in order)
-    while free.any():
-        now = left * weight / weight[free].sum()
-        above = free & (now > cap)
-        if not above.any():
-            target[free] = now[free]
-            break
-        target[above] = cap[above]
-        left -= cap[above].sum()
-        free &= ~above
-    return {s: float(t) for (s, _), t in zip(order, target)}
-
-
-def _targets(totals: DataFrame, weights, share, most) -> DataFrame:
-    """(source, source_size) -> also target."""
-    spark = totals.sparkSession
-    n = totals.count()
-    if n <= DRIVER_SOURCES:
-        rows = [(r.source, r.source_size) for r in totals.collect()]
-        found = source_targets(rows, weights, share, most)
-        return spark.createDataFrame([(s, z, found[s]) for s, z in rows], "source string, source_size long, target double")
-    # the same levels for any number of sources: each round caps those above, by two aggregates over the table of sources
+def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
+    """(source, source_size) -> also target.
+
+    Sources by code point, null last, weigh weights[0], [1], ... in turn;
+    together they get `share` of all sizes, each at most `most` times its own
+    size; what that leaves over is shared by weight among the others until none
+    is above.  The share per weight rises from round to round, by two aggregates
+    over the table of sources, until no further source is above its limit.
+    """
     ranked = prefix_sums(totals.withColumns({"one": F.lit(1).cast("long"), "last": F.col("source").isNull()}), ["last", "source"], {"one": "rank"})
     wanted = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int"))
-    now = cut(ranked.select("source", "source_size", wanted.alias("w"), (most * F.col("source_size")).cast("double").alias("cap")))
-    level, total = 0.0, now.agg(F.sum("source_size")).first()[0]
+    now = cut(ranked.select("source", "source_size", wanted.alias("w"), (most * F.col("source_size")).cast("double").alias("cap")), "weights")
+    level, total = 0.0, now.agg(F.sum("source_size")).first()[0] or 0
     while True:
-        low = now.where(F.col("cap") < F.col("w") * level).agg(F.sum("cap")).first()[0] or 0.0
-        free = now.where(F.col("cap") >= F.col("w") * level).agg(F.sum("w")).first()[0] or 0.0
-        new = (share * total - low) / free if free else level
+        full = F.col("cap") < F.col("w") * level
+        low, free = now.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w")))).first()
+        new = (share * total - (low or 0.0)) / free if free else level
         if new <= level * (1 + 1e-12):
             break
         level = new
@@ -104,12 +84,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     and seed alone.
     """
     rows = only(docs, doc_id="long", source="string", text="string").withColumn("text_hash", F.xxhash64("text"))
-    rows = rows.mapInArrow(_sizes, "doc_id long, source string, text_hash long, size long, weight double")
+    rows = cut(rows.mapInArrow(_sizes, "doc_id long, source string, text_hash long, size long, weight double"), "sizes")
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     keyed = rows.select("doc_id", "source", "size", (-F.log(u) / F.col("weight")).alias("key"), "text_hash")
     placed = cut(prefix_sums(keyed, _ORDER, {"size": "before"}, group="source").withColumn("rid", F.monotonically_increasing_id()), "mix")
-    totals = cut(placed.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
-    targets = _targets(totals, weights, share, most).withColumnRenamed("source", "_source")
+    totals = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    targets = cut(source_targets(totals, weights, share, most), "targets").withColumnRenamed("source", "_source")
     joined = placed.join(small_side(targets), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     joined = joined.withColumns({"epochs": epochs, "rest": F.col("target") - epochs * F.col("source_size")})
@@ -128,15 +108,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
 
 def _refill(rows: DataFrame) -> DataFrame:
-    """(rid) of the documents taken once more by sources of few documents: the leading ones that fit wholly, then, in up to REFILLS
-    rounds, the next ones in key order that fit what is left, then one that comes nearest."""
+    """(rid) of the documents taken once more by sources of few documents: the leading ones that fit wholly, then, round by
+    round until nothing more fits or the source is near its target, the next ones in key order that fit what is left, and
+    at last one that comes nearest."""
     fits = F.col("before") + F.col("size") <= F.col("rest")
     picked = cut(rows.where(fits).select("rid", "source", "size"), "picked")
     other = rows.where(~fits)
-    for _ in range(REFILLS):
+    while True:
         given = picked.groupBy(F.col("source").alias("_source")).agg(F.sum("size").alias("_given"))
         left = other.join(small_side(given), F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_left", F.col("rest") - F.coalesce("_given", F.lit(0)))
-        open_ = cut(left.where("size <= _left").select("rid", "source", "size", "rest", "key", "doc_id", "text_hash", "_left"), "open")
+        near = F.col("_left") <= LOOSE * F.col("target")
+        open_ = cut(left.where(~near & (F.col("size") <= F.col("_left"))).select("rid", "source", "size", "rest", "target", "key", "doc_id", "text_hash", "_left"), "open")
         if not open_.limit(1).count():
             break
         placed = cut(prefix_sums(open_, [*_ORDER, "rid"], {"size": "_b"}, group="source"), "refill")
@@ -153,8 +135,22 @@ def _refill(rows: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """docs with every row as often as the mix takes it; all columns, whole texts.  Wordless rows take part in complete epochs only."""
-    chosen = mix(docs, **how).where("copies > 0")
-    chosen = cut(chosen.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies")), "chosen")
-    on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source"))
-    return docs.join(small_side(chosen), on).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
+    """docs with every row as often as the mix takes it; all columns, whole texts.  Wordless rows take part in complete epochs only.
+
+    Rows that are equal in doc_id, text and source tie; where the mix takes some
+    of them more often than others, the first ones in the order of the table's
+    partitions are those.
+    """
+    chosen = mix(docs, **how).groupBy("doc_id", "text_hash", "source").agg(F.min("copies").alias("least"), F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows"))
+    chosen = cut(chosen.where("all > 0").select("doc_id", "text_hash", "source", "least", (F.col("all") - F.col("rows") * F.col("least")).alias("more")), "chosen")
+    chosen = small_side(chosen)
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    source = F.col("row.source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    on = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("text_hash")) & source.eqNullSafe(F.col("source"))
+    found = own.join(chosen, on)
+    # ties of rows with one copy number, which is nearly all, need no place among themselves
+    even = found.where("more = 0").select("row", F.col("least").alias("copies"))
+    border = found.where("more > 0").withColumns({"tie": F.xxhash64("doc_id", "text_hash", "source"), "one": F.lit(1).cast("long"), "at": F.monotonically_increasing_id()})
+    uneven = prefix_sums(border, ["at"], {"one": "place"}, group="tie").select("row", (F.col("least") + (F.col("place") < F.col("more")).cast("long")).alias("copies"))
+    taken = even.unionByName(uneven).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -256,28 +256,95 @@ def test_secrets_equal_sql(spark, tmp_path):
     assert got == want and sum(x[1] for x in got) > 30
 
 
+def plain_targets(sizes):
+    """{source: target} in plain Python."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), 1.5 * sum(sizes.values())
+    while free:
+        total = sum(weight[s] for s in free)
+        above = {s for s in free if left * weight[s] / total > 2 * sizes[s]}
+        for s in above or free:
+            target[s] = 2 * sizes[s] if above else left * weight[s] / total
+        left -= sum(target[s] for s in above)
+        free -= above or free
+    return target
+
+
+def plain_mix(rows, seed=mixing.SEED):
+    """{(doc_id, text, source): copies in all} by sorting each source's documents by their exponential keys; sources of many documents only."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    frame = spark.createDataFrame(rows, DOCS)
+    drawn = frame.selectExpr("doc_id", "text", "source", f"(pmod(xxhash64({seed}, doc_id, xxhash64(text)), 1L << 52) + 0.5) / cast(1L << 52 as double) u", "xxhash64(text) h").collect()
+    by, out = {}, Counter()
+    for r in drawn:
+        w = WORD.findall(r.text or "")
+        raw = (r.text or "").encode()
+        junk = sum(b in b"#*$%&|<>" for b in raw) / max(1, len(raw))
+        same = sum(a == b for a, b in zip(w[1:], w)) / max(1, len(w))
+        weight = max(0.05, (1 - min(1, 5 * junk)) * (1 - same))
+        by.setdefault(r.source, []).append((-np.log(r.u) / weight, -1 if r.doc_id is None else r.doc_id, r.h, len(w), r))
+    target = plain_targets({s: sum(x[3] for x in own) for s, own in by.items()})
+    for s, own in by.items():
+        size = sum(x[3] for x in own)
+        epochs = int(target[s] // size) if size else 0
+        rest, before = target[s] - epochs * size, 0
+        for _, _, _, n, r in sorted(own, key=lambda x: x[:3]):
+            out[r.doc_id, r.text, s] += epochs + (n > 0 and epochs < 2 and before + n / 2 <= rest)
+            before += n
+    return out, target
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert by_id((r.doc_id, r.size, r.source) for r in got) == Counter((i, len(WORD.findall(t or "")), s) for i, t, _, s, _ in corpus())
     sizes = Counter()
     for r in got:
         sizes[r.source] += r.size
-    want = mixing.source_targets(list(sizes.items()))
+    want = plain_targets(sizes)
     assert sum(want.values()) == pytest.approx(1.5 * sum(sizes.values()))
     for r in got:
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and r.taken in (0, r.size, 2 * r.size)
     again = mixing.mix(docs.repartition(5)).collect()
     assert by_id((r.doc_id, r.size, r.taken) for r in got) == by_id((r.doc_id, r.size, r.taken) for r in again)
-    assert mixing.mix(empty).count() == 0
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
     rows = mixing.mixed_documents(docs)
     assert rows.columns == docs.columns
     assert Counter(r.doc_id for r in rows.collect()) == +Counter({k: v for k, v in sum((Counter({r.doc_id: r.copies}) for r in got), Counter()).items()})
 
 
+def test_mix_equals_plain_sampling(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["ab", "cd", "ef", "$#", "gh"]) for _ in range(r.randrange(1, 40))), "en", r.choice(["a", "a", "b", "c", None]), 1) for i in range(1500)]
+    want, target = plain_mix(rows)
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    text = {i: t for i, t, *_ in rows}
+    assert Counter({(x.doc_id, text[x.doc_id], x.source): x.copies for x in got}) == want
+    assert all(x.target == pytest.approx(target[x.source]) for x in got)
+
+
+def test_equal_rows_that_straddle_the_border(spark):
+    """Rows that tie are written as often as the mix takes them together, whatever other columns they have."""
+    rows = [(1, "a b c", "en", "s", k) for k in range(2)] + [(2, "d e", "en", "t", 0)] + [(3, "x y z w", "en", "u", 9)] * 5
+    for extra in ([], [f"1 as {c}" for c in ("_doc", "_hash", "_source", "_copies", "_copy", "row", "copies", "copy", "tie", "place", "one", "at", "least", "more", "all")]):
+        docs = spark.createDataFrame(rows, DOCS).selectExpr("*", *extra)
+        want = Counter()
+        for x in mixing.mix(docs).collect():
+            want[x.doc_id] += x.copies
+        out = mixing.mixed_documents(docs)
+        assert out.columns == docs.columns and Counter(x.doc_id for x in out.collect()) == +want
+    assert any(len({x.copies for x in mixing.mix(docs).where(f"doc_id = {i}").collect()}) > 1 for i in (1, 3))
+
+
 def test_targets_and_nearness(spark):
-    t = mixing.source_targets([("b", 10), ("a", 100), (None, 100), ("c", 100)])
-    assert t["b"] == 20 and t["a"] == 200 and t["a"] + t["b"] + t["c"] + t[None] == pytest.approx(1.5 * 310)
-    assert t[None] / t["c"] == pytest.approx(5.0) or t[None] == 200
+    sizes = {"b": 10, "a": 100, None: 100, "c": 100}
+    table = lambda d: spark.createDataFrame(list(d.items()), "source string, source_size long")
+    t = {r.source: r.target for r in mixing.source_targets(table(sizes)).collect()}
+    assert t["b"] == 20 and t["a"] == 200 and sum(t.values()) == pytest.approx(1.5 * 310) and t == pytest.approx(plain_targets(sizes))
+    many = {f"s{i:02d}": (i * 37) % 101 + 1 for i in range(30)} | {None: 50, "none": 0}
+    assert {r.source: r.target for r in mixing.source_targets(table(many)).collect()} == pytest.approx(plain_targets(many))
     r = random.Random(3)
     rows = [(i, "w " * r.choice([1, 50, 400, 3000]), "en", f"s{i % 4}", 1) for i in range(160)]
     got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
@@ -286,14 +353,6 @@ def test_targets_and_nearness(spark):
         assert abs(sum(x.taken for x in own) - own[0].target) <= 0.03 * own[0].target
 
 
-def test_targets_beyond_the_driver_limit(spark, monkeypatch):
-    rows = [(f"s{i:02d}", (i * 37) % 101 + 1) for i in range(30)] + [(None, 50)]
-    want = mixing.source_targets(rows)
-    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 3)
-    got = mixing._targets(spark.createDataFrame(rows, "source string, source_size long"), mixing.WEIGHTS, mixing.SHARE, mixing.MOST_EPOCHS).collect()
-    assert all(r.target == pytest.approx(want[r.source]) for r in got) and len(got) == 31
-
-
 def labelled(n=900, seed=5):
     r = random.Random(seed)
     vocab = [f"{a}{b}" for a in ("ri", "sto", "lig", "hou", "gra", "mou") for b in ("ver", "ne", "ht", "se", "ss", "ntain", "ving")]
