@@ -1,8 +1,8 @@
 """Toxicity by gradient-boosted trees over dense features, calibrated isotonically.
 
 The lexicon isn't given: words and word beginnings that mark label 1 are learned
-from one part of the labelled sample, trees from a second part, calibration
-from a third.  All documents are then scored in one pass without a shuffle.
+from the labelled sample, and lexicon, trees and calibration are cross-fitted, so
+that small samples serve all three.  All documents are then scored in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .common import crc_fold, labelled_sample, only
 SAMPLE_EACH = 3_000
 FOLD, HELD_OUT = 4, 2
 PREDICT_AT = 0.3
+#: Parts of the sample in cross-fitting.
+FOLDS = 5
 PREFIX_BYTES = (4, 5, 6, 7)
 NEAR_WORDS = 3
 
@@ -68,24 +70,41 @@ def distinct_texts(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-class Lexicon:
-    """Words and word beginnings with the log odds of label 1 where they occur."""
+class Occurrences:
+    """Which of some labelled texts hold which words and word beginnings, each once."""
 
-    def __init__(self, rows: list[tuple[str, int]], least: int = 5, odds: float = 2.0):
+    def __init__(self, rows: list[tuple[str, int]]):
         hashes, starts, ends, first, data, _ = text_words([t for t, _ in rows])
-        label = np.array([y for _, y in rows])
+        self.label = np.array([y for _, y in rows])
         doc = np.repeat(np.arange(len(rows)), np.diff(first))
-        self.word = self._marks(hashes, doc, label, least, odds)
-        self.prefix = {n: self._marks(beginnings(data, starts, ends, n), doc, label, least, odds) for n in PREFIX_BYTES}
+        self.word = self._pairs(hashes, doc)
+        self.prefix = {n: self._pairs(beginnings(data, starts, ends, n), doc) for n in PREFIX_BYTES}
 
     @staticmethod
-    def _marks(keys, doc, label, least, odds):
-        some = keys != 0
-        pairs = np.unique(np.stack([keys[some], doc[some].astype(np.uint64)], 1), axis=0) if some.any() else np.zeros((0, 2), np.uint64)
-        name, at = np.unique(pairs[:, 0], return_inverse=True)
-        ones = np.bincount(at, label[pairs[:, 1].astype(np.int64)], len(name))
-        every = np.bincount(at, minlength=len(name))
-        n1, n0 = max(1, label.sum()), max(1, (1 - label).sum())
+    def _pairs(keys, doc):
+        """(names, name of each pair, text of each pair)."""
+        order = np.lexsort((doc, keys))
+        k, d = keys[order], doc[order]
+        some = k != 0
+        some[1:] &= (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+        name, at = np.unique(k[some], return_inverse=True)
+        return name, at, d[some]
+
+
+class Lexicon:
+    """Words and word beginnings with the log odds of label 1 where they occur, from the texts marked in `use`."""
+
+    def __init__(self, found: Occurrences, use: np.ndarray, least: int = 4, odds: float = 2.0):
+        marks = lambda pairs: self._marks(*pairs, found.label, use, least, odds)
+        self.word = marks(found.word)
+        self.prefix = {n: marks(pairs) for n, pairs in found.prefix.items()}
+
+    @staticmethod
+    def _marks(name, at, doc, label, use, least, odds):
+        own = use[doc]
+        at, ones = at[own], label[doc[own]]
+        ones, every = np.bincount(at, ones, len(name)), np.bincount(at, minlength=len(name))
+        n1, n0 = max(1, label[use].sum()), max(1, (1 - label[use]).sum())
         weight = np.log(((ones + 0.5) / (n1 + 1)) / ((every - ones + 0.5) / (n0 + 1)))
         keep = (ones >= least) & (weight >= odds)
         return name[keep], weight[keep]
@@ -218,7 +237,12 @@ def isotonic(x, y, weight) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Lexicon, trees and calibration, fitted on three parts of the rows."""
+    """Lexicon, trees and calibration, cross-fitted over FOLDS parts of the rows.
+
+    A row's features for the trees come from a lexicon learned on the other
+    parts, and its raw score for the calibration from trees fitted on the other
+    parts, so that no row vouches for itself; lexicon and trees that score new
+    texts are learned from all rows."""
 
     def __init__(self, rows: list[tuple[str, int]], counts: dict[int, int]):
         rows = distinct_texts(rows)
@@ -231,18 +255,25 @@ class Model:
         part = np.zeros(len(rows), int)
         for y in (0, 1):  # each part gets its share of both labels
             own = np.flatnonzero(label == y)
-            part[own] = np.arange(len(own)) % 5
-        self.lexicon = Lexicon([r for r, p in zip(rows, part) if p < 2])
-        x = self._features([t for t, _ in rows])
+            part[own] = np.arange(len(own)) % FOLDS
+        x = np.zeros((len(rows), len(FEATURES)), np.float32)
+        found = Occurrences(rows)
+        for k in range(FOLDS):
+            lexicon = Lexicon(found, part != k)
+            x[part == k] = self._features([t for (t, _), p in zip(rows, part) if p == k], lexicon)
         seen = {y: max(1, int((label == y).sum())) for y in (0, 1)}
         total = sum(counts.values())
         weight = np.where(label == 1, counts.get(1, 0) / total / seen[1], counts.get(0, 0) / total / seen[0]) * len(rows)
-        fit, rest = (part == 2) | (part == 3), part == 4
-        self.trees = Boosted(x[fit], label[fit], weight[fit])
-        self.knots = isotonic(self.trees.raw(x[rest]), label[rest], weight[rest])
+        raw = np.zeros(len(rows))
+        for k in range(FOLDS):
+            raw[part == k] = Boosted(x[part != k], label[part != k], weight[part != k]).raw(x[part == k])
+        self.lexicon = Lexicon(found, part >= 0)
+        self.trees = Boosted(x, label, weight)
+        self.knots = isotonic(raw, label, weight)
 
-    def _features(self, texts: list[str]) -> np.ndarray:
-        return np.concatenate([features(d, o, self.lexicon) for _, _, d, o in tk.text_slices(pa.array(texts, pa.string()))])
+    @staticmethod
+    def _features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
+        return np.concatenate([features(d, o, lexicon) for _, _, d, o in tk.text_slices(pa.array(texts, pa.string()))])
 
     def score(self, data, offsets) -> np.ndarray:
         if self.constant is not None:
