@@ -146,12 +146,13 @@ def prefix_sums(df: DataFrame, order: list, sums: dict[str, str], group: str | N
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held_out: int, each: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """Texts and labels of `each` rows of label 0 and of 1 at most, and how many labelled rows there are of each in all.
+    """Texts and labels of `each` documents of label 0 and of 1 at most, and how many labelled documents there are of each in all.
 
     Only rows whose crc32(doc_id as text) mod `fold` isn't `held_out` are read,
-    none for a null doc_id or label.  Rows are chosen by a hash of doc_id, so a
-    run on the same tables chooses the same ones.  Of a doc_id that is labelled
-    twice the larger label holds.
+    none for a null doc_id or label.  Documents are chosen by a hash of doc_id,
+    so a run on the same tables chooses the same ones.  Of a doc_id that is
+    labelled twice the larger label holds; of one with several texts, the text of
+    the smallest hash.
     """
     own = only(labels, doc_id="long", **{label: "int"}).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (crc_fold(F.col("doc_id"), fold) != held_out))
     own = own.groupBy("doc_id").agg(F.max(label).alias("label"))
@@ -159,5 +160,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, h
     order = F.xxhash64(F.lit(3), "doc_id")
     chosen = own.where("label = 0").orderBy(order, "doc_id").limit(each).union(own.where("label = 1").orderBy(order, "doc_id").limit(each))
     chosen = F.broadcast(chosen)  # 2 * each rows
-    rows = only(docs, doc_id="long", text="string").join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    text = F.coalesce("text", F.lit(""))
+    rows = only(docs, doc_id="long", text="string").join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min_by(text, F.struct(F.xxhash64(text), text)).alias("text"))
+    rows = rows.select("doc_id", "text", "label").toArrow().sort_by([("doc_id", "ascending")])
     return list(zip(rows.column("text").to_pylist(), rows.column("label").to_pylist())), counts

@@ -16,11 +16,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import crc_fold, only
+from .common import crc_fold, cut, only, small_side
 
 FOLD, HELD_OUT = 4, 2
-#: Rows that the network is fitted on at most, and bytes of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 600
+#: Documents that the network is fitted on at most (but ten of each language).
+SAMPLE_ROWS = 3_000
 HIDDEN = 8
 WINDOW, CONTEXT = 224, 16
 STEPS, BATCH, TRAIN_BYTES = 260, 128, 48
@@ -217,15 +217,18 @@ def _predictions(model: Model):
     return run
 
 
-def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """(part of a text, lang) of `rows` documents at most (ten of each language at least) that aren't held out, as many of each language as there are, by a hash of doc_id."""
+def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
+    """(text, lang) of `rows` documents at most (ten of each language at least) that aren't held out, as many of each language as there are, by a hash of doc_id."""
     own = only(docs, doc_id="long", text="string", lang="string").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc_id"), FOLD) != HELD_OUT))
-    langs = own.select("lang").distinct().count()
-    where = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - chars)) + 1
-    part = own.select("lang", F.xxhash64(F.lit(9), "doc_id").alias("k"), F.substring("text", where.cast("int"), F.lit(chars)).alias("t"))
-    first = F.row_number().over(W.partitionBy("lang").orderBy("k", "t"))
-    found = part.withColumn("r", first).where(F.col("r") <= max(10, rows // max(1, langs))).collect()
-    return [(r.t, r.lang) for r in sorted(found, key=lambda r: (r.lang, r.r))]
+    key = own.select("lang", F.xxhash64(F.lit(9), "doc_id").alias("k"), "doc_id", F.xxhash64("text").alias("h"), "text")
+    each = max(10, rows // max(1, own.select("lang").distinct().count()))
+    # the rows are chosen without their texts; each task keeps the first `each` of a language before the shuffle
+    place = F.row_number().over(W.partitionBy("lang").orderBy("k", "doc_id", "h"))
+    chosen = key.select("lang", "k", "doc_id", "h").withColumn("r", place).where(F.col("r") <= each)
+    chosen = cut(chosen.groupBy("lang", "doc_id", "h").agg(F.min("r").alias("r")), "chosen")  # a repeated row counts once
+    found = key.select("lang", "doc_id", "h", "text").join(small_side(chosen), ["lang", "doc_id", "h"])
+    found = found.groupBy("lang", "r").agg(F.first("text").alias("text")).collect()
+    return [(r.text, r.lang) for r in sorted(found, key=lambda r: (r.lang, r.r))]
 
 
 def languages(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Quality by nearest-neighbour voting among latent-semantic vectors.
 
-A text's terms are runs of three character classes, and marks of repetition.
+A text's terms are its words (hashed to a fixed number of buckets), runs of
+three character classes, and marks of repetition.
 Weighted by inverse document frequency and reduced by a truncated singular
 value decomposition of the labelled sample, they give each text a unit vector.
 The labelled vectors (a fixed number) go to every executor; documents come in
@@ -30,7 +31,9 @@ for _k, _set in enumerate((range(97, 123), range(65, 91), range(48, 58), b" \t",
     _CLASS[list(_set)] = _k
 _CLASS[128:] = 12
 _REPEATS = 9
-TERMS = _CLASSES**3 + _REPEATS
+#: Buckets that words are hashed to.
+WORD_TERMS = 1 << 10
+TERMS = _CLASSES**3 + _REPEATS + WORD_TERMS
 
 
 def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -68,7 +71,11 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out[:, _CLASSES**3 + 6] = np.minimum(1, words / 1000)
     out[:, _CLASSES**3 + 7] = words < 10
     out[:, _CLASSES**3 + 8] = 0.02 * (words > 0)
-    return np.sqrt(out)
+    at = _CLASSES**3 + _REPEATS
+    bucket = (hashes >> np.uint64(40)).astype(np.int64) % WORD_TERMS
+    out[:, at:] = np.bincount(doc * WORD_TERMS + bucket, minlength=n * WORD_TERMS).reshape(n, -1)
+    out[:, at:] /= np.maximum(words, 1)[:, None]
+    return np.sqrt(out, out=out)
 
 
 class Model:
