@@ -10,19 +10,26 @@ then read as alphabet positions and put to tests:
 * lag-one serial correlation of the positions.
 
 Each gives a p value under "uniformly random"; the least of them, times their
-number, must not be small.  Against ordinary text, the number of class changes
-between neighbours is compared with its binomial law at the rate that words and
-names show; these p values go through a Benjamini-Hochberg step within bands of
-length, because long strings change class often by chance alone.  A candidate
-that passes both is a span of kind "random".
+number, is the battery's.  Within bands of length, because long strings show
+small departures and short ones hardly any, a Benjamini-Hochberg step over the
+battery's p values of all candidates tells which are not random.  These show how
+often ordinary strings change class between neighbours.  Against that rate the
+others' class changes have p values too, and a second step within the same bands
+tells which are not ordinary.  A candidate that is not ordinary, and isn't told
+to be not random, is a span of kind "random".
+
+Matches are rows from the start: places are running sums inside a text, and what
+overlaps is found in their order, so a text with many matches costs no more for
+each than one with few.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, only
+from .common import cut, only, small_side
 
 
 def _either_case(word: str) -> str:
@@ -49,8 +56,7 @@ ALPHABETS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-LEAST_P = 1e-3
-#: Share of neighbours of different class in ordinary names and words.
+#: Share of neighbours of different class in ordinary strings, where the table has none that shows it.
 TEXT_CHANGES = 0.08
 FALSE_DISCOVERIES = 0.01
 #: Steps of p, as powers of ten, at which the Benjamini-Hochberg line is looked at.
@@ -58,19 +64,6 @@ STEPS_PER_DECADE, DECADES = 4, 60
 BANDS = (24, 32, 48, 64, 128)
 
 
-def spans(text: str, pattern: str, found: str) -> str:
-    """SQL: start and end of the matches `found` of pattern in text, in code points.  The text between matches is what split() leaves."""
-    between = f"transform(split({text}, r'{pattern}', -1), x -> cast(length(x) as bigint))"
-    ends = (
-        f"aggregate(sequence(1, size({found})), named_struct('gap', {between}, 'ends', array(0L)), (acc, i) -> named_struct('gap', acc.gap, 'ends', "
-        f"concat(acc.ends, array(element_at(acc.ends, -1) + acc.gap[i - 1] + length({found}[i - 1])))), acc -> slice(acc.ends, 2, size({found})))"
-    )
-    return f"CASE WHEN size({found}) > 0 THEN zip_with({ends}, {found}, (e, x) -> named_struct('s', e - length(x), 'e', e, 'x', x)) ELSE array() END"
-
-
-_NONE = "cast(array() as array<struct<s:bigint,e:bigint,x:string>>)"
-
-
 def _two_sided(z: str) -> str:
     """SQL: p of a standard normal beyond |z| on both sides, by the logistic approximation."""
     return f"least(1.0D, 2.0D / (1.0D + exp(0.07056D * pow(abs({z}), 3) + 1.5976D * abs({z}))))"
@@ -96,62 +89,88 @@ def _count(of: str, chars: str) -> str:
     return f"(length({of}) - length(translate({of}, '{chars}', '')))"
 
 
-def battery(found: str) -> str:
-    """SQL: one struct of statistics for each candidate of the array `found`."""
-    core = f"transform({found}, c -> named_struct('s', c.s, 'e', c.e, 'x', rtrim('=', c.x)))"
+def _steps(p: str) -> str:
+    """SQL: p as a whole number of steps, rounded to the weaker side."""
+    return f"cast(floor(least({DECADES}.0D, -log10(greatest({p}, 1e-300))) * {STEPS_PER_DECADE} + 1e-9) as int)"
+
+
+def battery(found: DataFrame) -> DataFrame:
+    """Rows with a string x -> those with an inferred encoding; also n, changes, band and random_step, the battery's p in steps."""
+    core = found.withColumn("x", F.expr("rtrim('=', x)"))
     # an alphabet holds the string if nothing is left after taking its symbols away
-    alphabet = "CASE " + " ".join(f"WHEN length(translate(c.x, '{a}', '')) = 0 THEN '{a}'" for _, a in ALPHABETS) + " ELSE NULL END"
-    step1 = f"filter(transform({core}, c -> named_struct('s', c.s, 'e', c.e, 'x', c.x, 'a', {alphabet}, 'n', cast(length(c.x) as double))), c -> c.a is not null)"
-    classes = "translate(c.x, '0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_', concat(repeat('d', 10), repeat('l', 26), repeat('u', 26), repeat('o', 4)))"
-    changes = "(length(cls) - length(regexp_replace(cls, r'(.)(?!\\1)(?=.)', '')))"
-    step2 = (
-        f"transform({step1}, c -> named_struct('s', c.s, 'e', c.e, 'n', c.n, 'm', cast(length(c.a) as double), 'cls', {classes}, "
-        "'at', transform(split(c.x, ''), y -> cast(instr(c.a, y) as double) - 0.5D - length(c.a) / 2.0D), "
-        "'sq', aggregate(sequence(1, length(c.a)), 0.0D, (acc, i) -> acc + pow(length(c.x) - length(replace(c.x, substr(c.a, i, 1), '')), 2)), "
-        + "'cells', filter(array("
-        + ", ".join(f"named_struct('k', cast({_count('c.x', s)} as double), 'w', cast({_count('c.a', s)} as double))" for s in _CLASS_SETS.values())
-        + "), z -> z.w > 0)))"
-    )
-    step3 = (
-        f"transform({step2}, c -> named_struct('s', c.s, 'e', c.e, 'n', c.n, 'm', c.m, 'cells', size(c.cells), "
-        "'chi', c.m / c.n * c.sq - c.n, "
-        "'chi_class', aggregate(c.cells, 0.0D, (acc, z) -> acc + pow(z.k - c.n * z.w / c.m, 2) / (c.n * z.w / c.m)), "
-        "'below', cast(size(filter(c.at, y -> y < 0)) as double), "
-        "'runs', 1.0D + size(filter(zip_with(slice(c.at, 1, size(c.at) - 1), slice(c.at, 2, size(c.at) - 1), (a, b) -> (a < 0) != (b < 0)), y -> y)), "
-        "'serial', aggregate(zip_with(slice(c.at, 1, size(c.at) - 1), slice(c.at, 2, size(c.at) - 1), (a, b) -> a * b), 0.0D, (acc, y) -> acc + y) "
-        "/ ((c.m * c.m - 1) / 12.0D * sqrt(c.n - 1)), "
-        f"'changes', cast({changes.replace('cls', 'c.cls')} as double)))"
-    )
-    above = "(c.n - c.below)"
-    mean = f"(1 + 2 * c.below * {above} / c.n)"
-    var = f"(2 * c.below * {above} * (2 * c.below * {above} - c.n) / (c.n * c.n * (c.n - 1)))"
-    runs_p = f"CASE WHEN c.below * {above} < 1 THEN pow(2.0D, 1 - c.n) WHEN {var} <= 0 THEN 1.0D ELSE {_two_sided(f'((c.runs - {mean}) / sqrt({var}))')} END"
-    chi_p = _lower(_chi_z("c.chi", "(c.m - 1)"))
-    class_p = f"CASE WHEN c.cells < 2 THEN 1.0D ELSE {_lower(_chi_z('c.chi_class', '(c.cells - 1)'))} END"
-    random_p = f"least(1.0D, 4 * least({runs_p}, {chi_p}, {class_p}, {_two_sided('c.serial')}))"
-    text_z = f"((c.changes - 0.5D - (c.n - 1) * {TEXT_CHANGES}D) / sqrt((c.n - 1) * {TEXT_CHANGES * (1 - TEXT_CHANGES)}D))"
-    text_p = f"CASE WHEN {text_z} <= 0 THEN 1.0D ELSE {_upper(text_z)} END"
-    band = "CASE " + " ".join(f"WHEN c.n < {b} THEN {i}" for i, b in enumerate(BANDS)) + f" ELSE {len(BANDS)} END"
-    # p as a whole number of steps, rounded to the weaker side
-    step = f"cast(floor(least({DECADES}.0D, -log10(greatest({text_p}, 1e-300))) * {STEPS_PER_DECADE} + 1e-9) as int)"
-    return f"transform({step3}, c -> named_struct('s', c.s, 'e', c.e, 'band', {band}, 'step', {step}, 'random_p', {random_p}))"
-
-
-def discovery_steps(found: DataFrame) -> dict[int, int]:
+    alphabet = "CASE " + " ".join(f"WHEN length(translate(x, '{a}', '')) = 0 THEN '{a}'" for _, a in ALPHABETS) + " ELSE NULL END"
+    read = core.withColumns({"a": F.expr(alphabet), "n": F.expr("cast(length(x) as double)")}).where("a is not null").withColumn("m", F.expr("cast(length(a) as double)"))
+    classes = "translate(x, '0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_', concat(repeat('d', 10), repeat('l', 26), repeat('u', 26), repeat('o', 4)))"
+    cells = "filter(array(" + ", ".join(f"named_struct('k', cast({_count('x', s)} as double), 'w', cast({_count('a', s)} as double))" for s in _CLASS_SETS.values()) + "), z -> z.w > 0)"
+    read = read.withColumns({
+        "at": F.expr("transform(split(x, ''), y -> cast(instr(a, y) as double) - 0.5D - m / 2.0D)"),
+        "cls": F.expr(classes),
+        "cells": F.expr(cells),
+        "chi": F.expr("m / n * aggregate(sequence(1, length(a)), 0.0D, (acc, i) -> acc + pow(length(x) - length(replace(x, substr(a, i, 1), '')), 2)) - n"),
+    })
+    read = read.withColumns({
+        "chi_class": F.expr("aggregate(cells, 0.0D, (acc, z) -> acc + pow(z.k - n * z.w / m, 2) / (n * z.w / m))"),
+        "below": F.expr("cast(size(filter(at, y -> y < 0)) as double)"),
+        "runs": F.expr("1.0D + size(filter(zip_with(slice(at, 1, size(at) - 1), slice(at, 2, size(at) - 1), (p, q) -> (p < 0) != (q < 0)), y -> y))"),
+        "serial": F.expr("aggregate(zip_with(slice(at, 1, size(at) - 1), slice(at, 2, size(at) - 1), (p, q) -> p * q), 0.0D, (acc, y) -> acc + y) / ((m * m - 1) / 12.0D * sqrt(n - 1))"),
+        "changes": F.expr("cast(length(cls) - length(regexp_replace(cls, r'(.)(?!\\1)(?=.)', '')) as long)"),
+    })
+    above = "(n - below)"
+    mean = f"(1 + 2 * below * {above} / n)"
+    var = f"(2 * below * {above} * (2 * below * {above} - n) / (n * n * (n - 1)))"
+    runs_p = f"CASE WHEN below * {above} < 1 THEN pow(2.0D, 1 - n) WHEN {var} <= 0 THEN 1.0D ELSE {_two_sided(f'((runs - {mean}) / sqrt({var}))')} END"
+    chi_p = _lower(_chi_z("chi", "(m - 1)"))
+    class_p = f"CASE WHEN size(cells) < 2 THEN 1.0D ELSE {_lower(_chi_z('chi_class', '(size(cells) - 1)'))} END"
+    random_p = f"least(1.0D, 4 * least({runs_p}, {chi_p}, {class_p}, {_two_sided('serial')}))"
+    band = "CASE " + " ".join(f"WHEN n < {b} THEN {i}" for i, b in enumerate(BANDS)) + f" ELSE {len(BANDS)} END"
+    return read.select(*(c for c in found.columns if c != "x"), "n", "changes", F.expr(band).alias("band"), F.expr(_steps(random_p)).alias("random_step"))
+
+
+def text_step(rate: float) -> str:
+    """SQL: the p of so many class changes or more, at the rate of ordinary strings, in steps."""
+    z = f"((changes - 0.5D - (n - 1) * {rate!r}D) / sqrt((n - 1) * {rate * (1 - rate)!r}D))"
+    return _steps(f"CASE WHEN {z} <= 0 THEN 1.0D ELSE {_upper(z)} END")
+
+
+def discovery_steps(found: DataFrame, step: str) -> dict[int, int]:
     """{band: least step that is a discovery}: Benjamini-Hochberg on counts of p by band and step, a table of fixed size."""
     counts: dict[int, dict[int, int]] = {}
-    for r in found.select(F.explode("tests").alias("c")).groupBy("c.band", "c.step").count().collect():
+    for r in found.groupBy("band", F.col(step).alias("step")).count().collect():
         counts.setdefault(r.band, {})[r.step] = r["count"]
     out = {}
     for band, by in counts.items():
         n, so_far = sum(by.values()), 0
-        for step in sorted(by, reverse=True):
-            so_far += by[step]
-            if 10 ** (-step / STEPS_PER_DECADE) <= so_far * FALSE_DISCOVERIES / n:
-                out[band] = step
+        for at in sorted(by, reverse=True):
+            so_far += by[at]
+            if 10 ** (-at / STEPS_PER_DECADE) <= so_far * FALSE_DISCOVERIES / n:
+                out[band] = at
     return out
 
 
+def _discovered(steps: dict[int, int], step: str):
+    return F.expr(" or ".join(f"(band = {b} and {step} >= {s})" for b, s in sorted(steps.items())) or "false")
+
+
+def _scanned(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (row, doc_id, kinds): of each kind that occurs its matches, and the lengths of the text before each."""
+    found = docs.withColumn("row", F.monotonically_increasing_id())
+    for k, pattern in enumerate(PATTERNS):
+        found = found.withColumn(f"x{k}", F.expr(f"regexp_extract_all(text, r'{pattern}', 0)"))
+    # the text between matches is what split() leaves
+    gaps = lambda k, p: f"CASE WHEN size(x{k}) > 0 THEN transform(slice(split(text, r'{p}', -1), 1, size(x{k})), y -> length(y)) ELSE cast(array() as array<int>) END"
+    kinds = "filter(array(" + ", ".join(f"named_struct('k', {k}, 'gaps', {gaps(k, p)}, 'found', x{k})" for k, p in enumerate(PATTERNS)) + "), z -> size(z.found) > 0)"
+    return cut(found.select("row", "doc_id", F.expr(kinds).alias("kinds")), "scanned")
+
+
+def _matches(scanned: DataFrame) -> DataFrame:
+    """(row, k, s, e, x): every match of every pattern, kinds numbered as in PATTERNS."""
+    found = scanned.where("size(kinds) > 0").select("row", F.explode("kinds").alias("z")).select("row", "z.k", F.posexplode(F.arrays_zip("z.gaps", "z.found")).alias("i", "m"))
+    until = W.partitionBy("row", "k").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    found = found.select("row", "k", "i", F.col("m.gaps").alias("gap"), F.col("m.found").alias("x"))
+    end = F.sum(F.col("gap") + F.length("x")).over(until)
+    return found.select("row", "k", (end - F.length("x")).alias("s"), end.alias("e"), "x")
+
+
 def secret_spans(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
@@ -159,38 +178,42 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     leftmost and don't overlap; those that are too short are dropped after
     matching.  A null text counts as empty: no spans.  A "random" span never
     overlaps a pattern's.  Which of them are reported depends on the whole
-    table, through the false-discovery step.  Equal rows get equal results; extra
+    table, through the false-discovery steps.  Equal rows get equal results; extra
     columns are ignored; an empty table gives an empty result.
     """
-    rows = only(docs, doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.select(
-        "doc_id", "text",
-        F.expr(f"regexp_extract_all(text, r'{ASSIGN}', 0)").alias("assign"),
-        F.expr(f"regexp_extract_all(text, r'{ACCESS}', 0)").alias("access"),
-        F.expr(f"regexp_extract_all(text, r'{HEX}', 0)").alias("hex"),
-        F.expr(f"regexp_extract_all(text, r'{CANDIDATE}', 0)").alias("long"),
-    )
+    scanned = _scanned(only(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit(""))))
+    found = _matches(scanned)
     # the value is what follows the first sign and blanks; its length decides
-    value = f"regexp_extract(m.x, r'{VALUE}$', 1)"
-    placed = found.select(
-        "doc_id",
-        F.expr(f"filter({spans('text', ASSIGN, 'assign')}, m -> length({value}) >= {ASSIGN_LEAST})").alias("assign"),
-        F.expr(spans("text", ACCESS, "access")).alias("access"),
-        F.expr(spans("text", HEX, "hex")).alias("hex"),
-        F.expr(spans("text", CANDIDATE, "long")).alias("long"),
-    )
-    kinds = ("assign", "access", "hex")
-    ordered = "array_sort(concat(" + ", ".join(f"transform({k}, m -> named_struct('s', m.s, 'k', {i}, 'e', m.e))" for i, k in enumerate(kinds)) + "))"
-    based = placed.select("doc_id", *(F.expr(f"cast(size({k}) as bigint)").alias(f"n_{k}") for k in kinds), F.expr(ordered).alias("base"), "long")
-    free = "filter(long, c -> not exists(base, b -> b.s < c.e and b.e > c.s))"
-    tested = cut(based.select("doc_id", *(f"n_{k}" for k in kinds), "base", F.expr(f"CASE WHEN size(long) > 0 THEN {battery(free)} ELSE array() END").alias("tests")), "secrets")
-    steps = discovery_steps(tested)
-    passes = " or ".join(f"(c.band = {b} and c.step >= {s})" for b, s in sorted(steps.items())) or "false"
-    added = f"transform(filter(tests, c -> c.random_p >= {LEAST_P}D and ({passes})), c -> named_struct('s', c.s, 'k', {len(kinds)}, 'e', c.e))"
-    names = F.array(*map(F.lit, (*kinds, "random")))
+    long_enough = F.expr(f"k <> 0 or length(regexp_extract(x, r'{VALUE}$', 1)) >= {ASSIGN_LEAST}")
+    found = found.where(long_enough)
+    # a candidate overlaps a base span if one that begins earlier ends behind its start, or the next one begins before its end
+    order = W.partitionBy("row").orderBy("s", "k")
+    base = F.col("k") < RANDOM
+    reach = F.max(F.when(base, F.col("e"))).over(order.rowsBetween(W.unboundedPreceding, -1))
+    following = F.min(F.when(base, F.col("s"))).over(order.rowsBetween(1, W.unboundedFollowing))
+    placed = cut(found.withColumns({"reach": reach, "following": following}).where(base | ((F.coalesce("reach", F.lit(0)) <= F.col("s")) & (F.coalesce("following", F.col("e")) >= F.col("e")))).drop("reach", "following"), "placed")
+    tested = cut(battery(placed.where(~base)), "tested")
+    not_random = _discovered(discovery_steps(tested, "random_step"), "random_step")
+    changes, pairs = tested.where(not_random).agg(F.sum("changes"), F.sum(F.col("n") - 1)).first()
+    rate = min(0.5, max(0.01, changes / pairs)) if pairs else TEXT_CHANGES
+    read = tested.withColumn("text_step", F.expr(text_step(rate)))
+    added = read.where(~not_random & _discovered(discovery_steps(read, "text_step"), "text_step")).select("row", "k", "s", "e")
+    spans = placed.where(base).select("row", "k", "s", "e").unionByName(added)
+    listed = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e"))).alias("own"))
+    names = F.array(*map(F.lit, KINDS))
     text = lambda col: F.array_join(F.transform(col, lambda m: F.concat_ws(":", F.element_at(names, m["k"] + 1), m["s"].cast("string"), m["e"].cast("string"))), ",")
-    out = tested.select("*", F.expr(added).alias("random"))
-    return out.select(
-        "doc_id", *(f"n_{k}" for k in kinds), F.sha2(text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        text(F.array_sort(F.concat("base", "random"))).alias("spans"), F.size("random").cast("long").alias("n_random"),
+    number = lambda k: F.size(F.filter("own", lambda m: m["k"] == k)).cast("long")
+    listed = listed.select(
+        "row", *(number(k).alias(f"n_{name}") for k, name in enumerate(KINDS)),
+        F.sha2(text(F.filter("own", lambda m: m["k"] < RANDOM)).cast("binary"), 256).alias("base_sha256"), text(F.col("own")).alias("spans"),
     )
+    out = scanned.select("row", "doc_id").join(small_side(cut(listed, "listed")), "row", "left")
+    count = lambda name: F.coalesce(f"n_{name}", F.lit(0).cast("long")).alias(f"n_{name}")
+    return out.select("doc_id", *map(count, KINDS[:RANDOM]), F.coalesce("base_sha256", F.lit(EMPTY_SHA256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), count(KINDS[RANDOM]))
+
+
+PATTERNS = (ASSIGN, ACCESS, HEX, CANDIDATE)
+KINDS = ("assign", "access", "hex", "random")
+RANDOM = 3
+#: SHA-256 of no bytes.
+EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"

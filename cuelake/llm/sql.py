@@ -59,25 +59,32 @@ from d left join h using (doc_id) left join it using (doc_id)"""
 
 
 def _secrets() -> str:
-    from . import secrets as S
+    assign = """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']? *[:=] *["'']?[A-Za-z0-9+/_.=-]+"""
+    value = """["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)$"""
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = (digits + "abcdef", digits + "ABCDEF", upper + "234567", digits + lower, digits + upper, upper + lower + digits, upper + lower + digits + "+/", upper + lower + digits + "-_")
 
     def spans(k: int, pattern: str) -> str:
         return f"""select doc_id, {k} k, x, (sum(gap + length(x)) over (partition by doc_id order by i) - length(x))::bigint s, sum(gap + length(x)) over (partition by doc_id order by i)::bigint e
   from (select doc_id, i, length(pieces[i]) gap, found[i] x from (select doc_id, found, regexp_split_to_array(t, '{pattern}') pieces, unnest(range(1, len(found) + 1)) i
-  from (select doc_id, t, regexp_extract_all(t, '{pattern}') found from d) where len(found) > 0))"""
+  from (select doc_id, t, regexp_extract_all(t, '{pattern}', 0) found from d) where len(found) > 0))"""
 
     two = lambda z: f"least(1, 2 / (1 + exp(0.07056 * pow(abs({z}), 3) + 1.5976 * abs({z}))))"
     up = lambda z: f"(1 / (1 + exp(0.07056 * pow({z}, 3) + 1.5976 * ({z}))))"
     excess = lambda chi, f: f"least(1, 2 * {up(f'greatest(0, (pow({chi} / ({f}), 1.0 / 3) - (1 - 2.0 / (9 * ({f})))) / sqrt(2.0 / (9 * ({f}))))')})"
-    alphabet = "case " + " ".join(f"when translate(x, '{a}', '') = '' then '{a}'" for _, a in S.ALPHABETS) + " end"
+    alphabet = "case " + " ".join(f"when translate(x, '{a}', '') = '' then '{a}'" for a in alphabets) + " end"
     kind = lambda c: f"case when {c} between '0' and '9' then 0 when {c} between 'a' and 'z' then 1 when {c} between 'A' and 'Z' then 2 else 3 end"
-    band = "case " + " ".join(f"when n < {b} then {i}" for i, b in enumerate(S.BANDS)) + f" else {len(S.BANDS)} end"
-    z = f"((changes - 0.5 - (n - 1) * {S.TEXT_CHANGES}) / sqrt((n - 1) * {S.TEXT_CHANGES * (1 - S.TEXT_CHANGES)}))"
+    band = "case when n < 24 then 0 when n < 32 then 1 when n < 48 then 2 when n < 64 then 3 when n < 128 then 4 else 5 end"
+    steps = lambda p: f"floor(least(60, -log10(greatest({p}, 1e-300))) * 4 + 1e-9)::int"
+    z = "((changes - 0.5 - (n - 1) * rate) / sqrt((n - 1) * (rate * (1 - rate))))"
     var = "(2 * lo * (n - lo) * (2 * lo * (n - lo) - n) / (n * n * (n - 1)))"
+    # the largest share of the most extreme p values, in each band, that keeps false discoveries at 1 in 100
+    least = lambda of, step: f"""select band, min(step) least_step from (select band, {step} step, sum(count(*)) over (partition by band order by {step} desc) so_far, sum(count(*)) over (partition by band) n from {of} group by 1, 2)
+  where pow(10, -step / 4.0::double) <= so_far * 0.01 / n group by 1"""
     return f"""
 with d as (select doc_id, coalesce(text, '') t from documents),
-a as ({spans(0, S.ASSIGN)}), b as ({spans(1, S.ACCESS)}), h as ({spans(2, S.HEX)}), c as ({spans(3, S.CANDIDATE)}),
-base as (select * from a where length(regexp_extract(x, '{S.VALUE}$', 1)) >= {S.ASSIGN_LEAST} union all select * from b union all select * from h),
+a as ({spans(0, assign)}), b as ({spans(1, "AKIA[A-Z0-9]{16,}")}), h as ({spans(2, "[0-9a-f]{24,}")}), c as ({spans(3, "[A-Za-z0-9+/_-]{20,}={0,2}")}),
+base as (select * from a where length(regexp_extract(x, '{value}', 1)) >= 6 union all select * from b union all select * from h),
 free as (select row_number() over () id, doc_id, s, e, rtrim(x, '=') x from c where not exists (select 1 from base where base.doc_id = c.doc_id and base.s < c.e and base.e > c.s)),
 al as (select *, {alphabet} al, length(x)::double n from free), ok as (select *, length(al)::double m from al where al is not null),
 ch as (select id, n, m, al, i, x[i] ch, {kind('x[i]')} cls, instr(al, x[i]) - 0.5 - m / 2 v from (select *, unnest(range(1, length(x) + 1)) i from ok)),
@@ -86,14 +93,15 @@ sq as (select id, sum(k * k)::double sq from (select id, ch, count(*) k from ch
 size as (select al, cls, count(*)::double w from (select al, {kind('q')} cls from (select al, unnest(string_split(al, '')) q from (select distinct al from ok))) group by 1, 2),
 cl as (select ok.id, count(*) cells, sum(pow(coalesce(k, 0) - n * w / m, 2) / (n * w / m)) chi_class from ok join size using (al) left join (select id, cls, count(*)::double k from ch group by 1, 2) q on q.id = ok.id and q.cls = size.cls group by 1),
 st as (select id, sum(case when v < 0 then 1 else 0 end)::double lo, 1 + sum(case when (v < 0) <> (nv < 0) then 1 else 0 end)::double runs, sum(v * nv) serial, sum(case when cls <> nc then 1 else 0 end)::double changes from nb group by 1),
-t as (select ok.id, doc_id, s, e, n, changes, least(1, 4 * least(
+t as (select ok.id, doc_id, s, e, n, changes, {band} band, least(1, 4 * least(
   case when lo * (n - lo) < 1 then pow(2.0::double, 1 - n) when {var} <= 0 then 1 else {two(f'((runs - (1 + 2 * lo * (n - lo) / n)) / sqrt({var}))')} end,
   {excess('(m / n * sq - n)', '(m - 1)')}, case when cells < 2 then 1 else {excess('chi_class', '(cells - 1)')} end, {two('(serial / ((m * m - 1) / 12 * sqrt(n - 1)))')})) random_p
   from ok join sq using (id) join cl using (id) join st using (id)),
-p as (select *, {band} band, floor(least({S.DECADES}, -log10(greatest(case when {z} <= 0 then 1 else {up(z)} end, 1e-300))) * {S.STEPS_PER_DECADE} + 1e-9)::int step from t),
-k as (select band, step, sum(count(*)) over (partition by band order by step desc) so_far, sum(count(*)) over (partition by band) n from p group by 1, 2),
-bh as (select band, min(step) least_step from k where pow(10, -step / {S.STEPS_PER_DECADE}.0::double) <= so_far * {S.FALSE_DISCOVERIES} / n group by 1),
-every as (select doc_id, s, k, e from base union all select doc_id, s, 3, e from p join bh using (band) where step >= least_step and random_p >= {S.LEAST_P}),
+r as (select *, {steps('random_p')} random_step from t), rl as ({least('r', 'random_step')}),
+told as (select r.*, coalesce(random_step >= least_step, false) not_random from r left join rl using (band)),
+q as (select coalesce(least(0.5, greatest(0.01, sum(changes) / sum(n - 1))), 0.08) rate from told where not_random),
+p as (select told.*, {steps(f'case when {z} <= 0 then 1 else {up(z)} end')} text_step from told, q), pl as ({least('p', 'text_step')}),
+every as (select doc_id, s, k, e from base union all select doc_id, s, 3, e from p join pl using (band) where text_step >= least_step and not not_random),
 o as (select doc_id, count(*) filter (k = 0) n_assign, count(*) filter (k = 1) n_access, count(*) filter (k = 2) n_hex, count(*) filter (k = 3) n_random,
   string_agg(['assign', 'access', 'hex', 'random'][k + 1] || ':' || s || ':' || e, ',' order by s, k, e) spans, string_agg(['assign', 'access', 'hex', 'random'][k + 1] || ':' || s || ':' || e, ',' order by s, k, e) filter (k < 3) own from every group by 1)
 select d.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(own, '')) base_sha256, coalesce(spans, '') spans, coalesce(n_random, 0) n_random from d left join o using (doc_id)"""

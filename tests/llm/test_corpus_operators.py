@@ -239,6 +239,17 @@ def test_secrets(spark, docs, empty):
     assert secrets.secret_spans(docs).count() == docs.count() and secrets.secret_spans(empty).count() == 0
 
 
+def test_secrets_of_a_text_full_of_matches(spark):
+    """Tens of thousands of matches in one text, in time that grows with their number."""
+    import time
+
+    text = "".join(f"token={i:08d} " + "deadbeef" * 3 + " " for i in range(20_000))
+    began = time.time()
+    got = secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert got[0].n_assign == 20_000 and got[0].n_hex == 20_000 and time.time() - began < 60
+    assert got[0].spans.startswith("assign:0:14,hex:15:39,assign:40:54")
+
+
 def test_secrets_equal_sql(spark, tmp_path):
     import duckdb
 
