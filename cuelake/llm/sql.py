@@ -4,22 +4,27 @@ _FOLD = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _ITEM_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+_HOST_RULES = {"few_words": "n_words < 10", "repeats": "5 * n_repeat_words > n_words", "symbols": "n_symbols * 10 > n_words", "dup_lines": "n_dup_lines * 10 > n_lines * 3"}
+
 op1_quality_rules = rf"""
 with d as (select doc_id, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), {_WORD}) w from documents),
 g as (select doc_id, i, array_to_string(w[i:i + 4], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 3)) i from d where len(w) >= 5)),
 twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) k from g) where k > 1),
 rep as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(i, i + 5)) p from twice) group by 1),
-dup as (select doc_id, count(*) - count(distinct line) n from (select doc_id, unnest(string_split(t, chr(10))) line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+dup as (select doc_id, count(*) - count(distinct line) n, count(*) lines from (select doc_id, unnest(string_split(t, chr(10))) line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
 f as (select d.doc_id, source, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols,
-  coalesce(dup.n, 0)::bigint n_dup_lines, coalesce(rep.n, 0)::bigint n_repeat_words from d left join dup using (doc_id) left join rep using (doc_id)),
+  coalesce(dup.n, 0)::bigint n_dup_lines, coalesce(rep.n, 0)::bigint n_repeat_words, coalesce(dup.lines, 0)::bigint n_lines from d left join dup using (doc_id) left join rep using (doc_id)),
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from f),
-h as (select source, count(*) n, sum(case when base_failed then 1 else 0 end) k from b group by 1),
-m as (select count(*) hosts, avg(k / n) mean, avg((k / n) * (k / n)) square from h where n >= 2),
-v as (select *, square - mean * mean var from m),
-p as (select case when hosts < 2 then 1 when var <= 1e-12 or mean <= 0 or mean >= 1 then greatest(1e-3, mean) * 100 else mean * greatest(1e-3, mean * (1 - mean) / var - 1) end a,
-  case when hosts < 2 then 1 when var <= 1e-12 or mean <= 0 or mean >= 1 then greatest(1e-3, 1 - mean) * 100 else (1 - mean) * greatest(1e-3, mean * (1 - mean) / var - 1) end b from v),
-r as (select source, round((k + p.a) / (n + p.a + p.b), 9) host_rate from h, p)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and host_rate <= 0.6 kept, host_rate from b join r on b.source is not distinct from r.source"""
+h as (select source, count(*) n, [{", ".join(f"count(*) filter ({x})" for x in _HOST_RULES.values())}] ks from b group by 1),
+u as (select source, n, rule, ks[rule] k, ks[rule] / n rate, (n >= 2)::int counts from h, (select unnest(range(1, {len(_HOST_RULES) + 1})) rule)),
+o as (select source, rule, n, k, sum(counts) over r - counts others, sum(counts * rate) over r - counts * rate rates, sum(counts * rate * rate) over r - counts * rate * rate squares from u window r as (partition by rule)),
+m as (select *, rates / others mean, squares / others - (rates / others) * (rates / others) var from o),
+i as (select *, case when others < 2 then 0.5::double else least(greatest(mean, 0.001::double), 0.999::double) end mid from m),
+st as (select *, case when others < 2 then 2 when var <= 1e-12 or mean <= 0 or mean >= 1 then 100 else greatest(1e-3, mid * (1 - mid) / var - 1) end::double strength from i),
+sh as (select *, round((k + mid * strength) / (n + strength), 9) shrunk from st),
+r as (select source, {", ".join(f"max(shrunk) filter (rule = {k}) rate_{x}" for k, x in enumerate(_HOST_RULES, 1))},
+  coalesce(string_agg({list(_HOST_RULES)}[rule], ',' order by rule) filter (shrunk > 0.25 and shrunk > mid + 3 * sqrt(mid * (1 - mid) / (strength + 1))), '') host_failed from sh group by 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and host_failed = '' kept, n_lines, {", ".join(f"rate_{x}" for x in _HOST_RULES)}, host_failed from b join r on b.source is not distinct from r.source"""
 
 # crc32 bit by bit: each byte is followed by seven zeros, and every step takes one bit of the state
 op2_sharding = """
