@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..functions.similarity import token_set_ratios
 
@@ -52,11 +52,8 @@ def _best_of_blocks(query_text: str, memory_text: str, k: int, least: float | No
     return run
 
 
-def fuzzy_top_k(queries: DataFrame, memory: DataFrame, query_text: str, memory_text: str, query: list[str], tie: list[str], k: int = 3, least: float = 70.0) -> DataFrame:
-    """Memory rows nearest to each query by token-set ratio.
-
-    Every pair is scored, at every size: blocks of queries (the small side)
-    meet blocks of memory rows, and only the best of a block go on."""
+def _block_pairs(queries: DataFrame, memory: DataFrame):
+    """Blocks of queries (the small side) beside blocks of memory rows, as structs q and m; and the type of a query."""
     spark = queries.sparkSession
     kind = lambda df: df.select(F.struct("*").alias("x")).schema["x"].dataType
     rows = lambda df, name, n: df.select(F.struct("*").alias(name)).mapInArrow(_blocks(n), StructType([StructField(name, ArrayType(kind(df)))]))
@@ -64,11 +61,71 @@ def fuzzy_top_k(queries: DataFrame, memory: DataFrame, query_text: str, memory_t
     asked = rows(queries, "q", QUERY_BLOCK)
     if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
         asked = F.broadcast(asked)
-    pairs = rows(memory, "m", MEMORY_BLOCK).repartition(tasks).join(asked)
-    best = pairs.mapInArrow(_best_of_blocks(query_text, memory_text, k, least), StructType([StructField("q", kind(queries)), StructField("m", kind(memory)), StructField("score", DoubleType())]))
+    return rows(memory, "m", MEMORY_BLOCK).repartition(tasks).join(asked), kind(queries)
+
+
+def fuzzy_top_k(queries: DataFrame, memory: DataFrame, query_text: str, memory_text: str, query: list[str], tie: list[str], k: int = 3, least: float = 70.0) -> DataFrame:
+    """Memory rows nearest to each query by token-set ratio.
+
+    Every pair is scored, at every size: blocks of queries (the small side)
+    meet blocks of memory rows, and only the best of a block go on."""
+    pairs, kind = _block_pairs(queries, memory)
+    row = memory.select(F.struct("*").alias("x")).schema["x"].dataType
+    best = pairs.mapInArrow(_best_of_blocks(query_text, memory_text, k, least), StructType([StructField("q", kind), StructField("m", row), StructField("score", DoubleType())]))
     return top_k(best.select("q.*", "m.*", "score"), query, "score", tie, k, least)
 
 
+def _grams(text: str, k: int) -> np.ndarray:
+    """The distinct runs of k characters (3 at most), as numbers."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    out = np.zeros(max(0, len(c) - k + 1), np.uint64)
+    for i in range(k):
+        out = (out << np.uint64(21)) | c[i : len(c) - k + 1 + i]
+    return np.unique(out)
+
+
+def _common_of_blocks(text: str, row: str, k: int, best: int):
+    def run(batches):
+        """Of each pair of blocks (q, m): per query its grams and the `best` rows that share most grams with it, the smaller row first among equals."""
+        for batch in batches:
+            for at in range(len(batch)):
+                q, m = batch.column("q")[at].values, batch.column("m")[at].values
+                asked = [_grams(x or "", k) for x in q.field(text).to_pylist()]
+                held = [_grams(x or "", k) for x in m.field(text).to_pylist()]
+                ids = np.asarray(m.field(row))
+                gram, owner = np.concatenate(asked), np.repeat(np.arange(len(asked)), list(map(len, asked)))
+                order = np.argsort(gram, kind="stable")
+                gram, owner = gram[order], owner[order]
+                other = np.concatenate(held)
+                first, last = np.searchsorted(gram, other, "left"), np.searchsorted(gram, other, "right")
+                n = last - first
+                where = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+                cell = np.repeat(np.repeat(np.arange(len(held)), list(map(len, held))), n) * len(asked) + owner[where]
+                common = np.bincount(cell, minlength=len(held) * len(asked)).reshape(len(held), len(asked))
+                by_id = np.argsort(ids, kind="stable")
+                top = by_id[np.argsort(-common[by_id], axis=0, kind="stable")[:best]]
+                i, j = np.broadcast_to(np.arange(len(asked)), top.shape).ravel(), top.ravel()
+                some = common[j, i] > 0
+                i, j = i[some], j[some]
+                if len(i):
+                    size = np.array(list(map(len, asked)), np.int64)
+                    yield pa.RecordBatch.from_arrays([q.take(pa.array(i)), m.field(row).take(pa.array(j)), pa.array(size[i]), pa.array(common[j, i].astype(np.int64))], names=["q", row, "n", "common"])
+
+    return run
+
+
+def gram_overlaps(queries: DataFrame, memory: DataFrame, query: str, row: str, text: str, k: int = 3) -> DataFrame:
+    """(query, row, common, n, runner_up): the memory row that shares most distinct character k-grams with each query, the number
+    of its grams, and what the next best row shares.  Rows are told apart by an integer column.
+
+    Every pair of texts is compared, whole, in blocks; only the two best of a block go on.  Queries without a common gram have no row."""
+    pairs, kind = _block_pairs(queries.select(query, text), memory.select(row, text))
+    found = pairs.mapInArrow(_common_of_blocks(text, row, k, 2), StructType([StructField("q", kind), memory.schema[row], StructField("n", LongType()), StructField("common", LongType())]))
+    w = W.partitionBy(query).orderBy(F.desc("common"), row)
+    ranked = found.select(f"q.{query}", row, "n", "common").withColumns({"r": F.row_number().over(w), "runner_up": F.coalesce(F.lead("common").over(w), F.lit(0).cast("long"))})
+    return ranked.where("r = 1").drop("r")
+
+
 def evenly_spaced(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     """n rows of each group at even distances, the first and the last among them."""
     w = W.partitionBy(*by)

@@ -372,18 +372,13 @@ def edge_noise_trim(spark, d):
 _GRAMS = "(select distinct {k}, unnest(list_transform(range(1, greatest(1, length(t) - 1)), lambda i: substr(t, i, 3))) g from (select {k}, lower(regexp_replace({c}, '[^A-Za-z]', '', 'g')) t from {f}))"
 
 
-@query(f"""with a as {_GRAMS.format(k='item_id', c='substr(text, 1, 200)', f='benchmark')}, b as {_GRAMS.format(k='doc_id', c='substr(text, 1, 200)', f='documents')},
+@query(f"""with a as {_GRAMS.format(k='item_id', c='text', f='benchmark')}, b as {_GRAMS.format(k='doc_id', c='text', f='documents')},
   n as (select item_id, count(*) n from a where length(g) = 3 group by 1), p as (select item_id, doc_id, count(*) common from a join b using (g) where length(g) = 3 group by 1, 2),
   r as (select p.*, n.n, row_number() over (partition by item_id order by common desc, doc_id) r from p join n using (item_id))
   select x.item_id, x.doc_id, x.common, round(x.common / x.n::double, 6) share, coalesce(y.common, 0) runner_up, x.common / x.n::double >= .4 and x.common >= 2 * coalesce(y.common, 0) confident from r x left join r y on x.item_id = y.item_id and y.r = 2 where x.r = 1""")
 def char_ngrams_overlap(spark, d):
-    fold = lambda c: F.lower(F.regexp_replace(F.substring(c, 1, 200), "[^A-Za-z]", ""))
-    a = read(spark, d, "benchmark").select("item_id", F.explode(T.character_grams(fold("text"))).alias("g"))
-    b = read(spark, d, "documents").select("doc_id", F.explode(T.character_grams(fold("text"))).alias("g"))
-    n = a.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    p = a.join(b, "g").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("common"))
-    w = W.partitionBy("item_id").orderBy(F.desc("common"), "doc_id")
-    r = p.withColumns({"r": F.row_number().over(w), "runner_up": F.coalesce(F.lead("common").over(w), F.lit(0))}).where("r = 1").join(n, "item_id")
+    fold = F.lower(F.regexp_replace("text", "[^A-Za-z]", "")).alias("letters")
+    r = K.gram_overlaps(read(spark, d, "benchmark").select("item_id", fold), read(spark, d, "documents").select("doc_id", fold), "item_id", "doc_id", "letters")
     share = F.col("common") / F.col("n")
     return r.select("item_id", "doc_id", "common", F.round(share, 6).alias("share"), "runner_up", ((share >= 0.4) & (F.col("common") >= 2 * F.col("runner_up"))).alias("confident"))
 

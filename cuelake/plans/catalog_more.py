@@ -154,11 +154,12 @@ def newest_first(spark, d):
     return read(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey", "o_custkey")
 
 
-@query("""with r as (select user_id, greatest(1, k - 1) a, least(200, k + 1) b from (select user_id, row_number() over (partition by user_id order by event_id) k, event_type from events) where event_type = 'error'),
+@query("""with r as (select user_id, greatest(1, k - 1) a, least(n, k + 1) b from (select user_id, row_number() over (partition by user_id order by event_id) k, count(*) over (partition by user_id) n, event_type from events) where event_type = 'error'),
   m as (select *, case when a > reach + 1 or reach is null then 1 else 0 end nw from (select *, max(b) over (partition by user_id order by a, b rows between unbounded preceding and 1 preceding) reach from r)), g as (select *, sum(nw) over (partition by user_id order by a, b rows unbounded preceding)::bigint island from m)
   select user_id, island, min(a) first_line, max(b) last_line, count(*) n from g group by 1, 2""")
 def patch_windows(spark, d):
-    e = read(spark, d, "events").withColumn("k", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long")).where("event_type = 'error'").withColumn("last", F.lit(200).cast("long"))
+    user = W.partitionBy("user_id")
+    e = read(spark, d, "events").withColumns({"k": F.row_number().over(user.orderBy("event_id")).cast("long"), "last": F.count(F.lit(1)).over(user)}).where("event_type = 'error'")
     return TR.patch_windows(e.select("user_id", "k", "last"), ["user_id"], "k", 1, "last")
 
 
@@ -228,10 +229,10 @@ def answer_merge(spark, d):
     return J.merge_by_line(c.where("role = 'user'").select("conv_id", "turn", "text"), c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), "text"), ["conv_id"], "turn", "text")
 
 
-@query("""with k as (select *, row_number() over (partition by source order by doc_id) n from (select source, doc_id, left(text, 40) as text from documents) where regexp_matches(text, '\\p{L}')) select k.source, k.doc_id, coalesce('#' || n, k.text) as text from k
-  union all select source, doc_id, left(text, 40) from documents where not coalesce(regexp_matches(left(text, 40), '\\p{L}'), false)""")
+@query("""with k as (select *, row_number() over (partition by source order by doc_id) n from documents where regexp_matches(text, '\\p{L}')) select k.source, k.doc_id, coalesce('#' || n, k.text) as text from k
+  union all select source, doc_id, text from documents where not coalesce(regexp_matches(text, '\\p{L}'), false)""")
 def noise_round_trip(spark, d):
-    lines = read(spark, d, "documents").select("source", "doc_id", F.substring("text", 1, 40).alias("text"))
+    lines = read(spark, d, "documents").select("source", "doc_id", "text")
     kept = TR.without_noise(lines, ["source"], "doc_id", "text", False)
     answers = kept.select("source", "dense_no", F.concat(F.lit("#"), F.col("dense_no").cast("string")).alias("text"))
     return TR.put_back(lines, kept, answers, ["source"], "doc_id", "text")
@@ -281,7 +282,7 @@ def chunk_coverage(spark, d):
     return J.interval_join(s, c, ["user_id"], ("t_start", "t_end"), ("c_start", "c_end"), 24 * HOUR).select("user_id", "session_no", "c_no")
 
 
-@query("""select p_partkey, min(f) filter (r = 1) as subtitle from (select v.p_partkey, f, row_number() over (partition by v.p_partkey order by x) r from (select p_partkey from part where p_partkey % 2 = 0) v
+@query("""select p_partkey, min(f) filter (r = 1) as subtitle from (select v.p_partkey, f, row_number() over (partition by v.p_partkey order by x) r from part v
   join (select p_partkey k, '/m/' || p_partkey || e f, x from part, (values ('.srt', 1), ('.ass', 2), ('.en.srt', 3)) z(e, x) where (p_partkey % 4 = 0 and x = 1) or (p_partkey % 6 = 0 and x = 2) or x = 3) on k = v.p_partkey) group by 1""")
 def sidecar_lookup(spark, d):
     from ..sources.subtitles import detect_language_sidecars
@@ -289,7 +290,7 @@ def sidecar_lookup(spark, d):
     p = read(spark, d, "part").select("p_partkey")
     stem = F.concat(F.lit("/m/"), F.col("p_partkey").cast("string"))
     files = p.withColumn("e", F.explode(F.array(F.when(F.col("p_partkey") % 4 == 0, ".srt"), F.when(F.col("p_partkey") % 6 == 0, ".ass"), F.lit(".en.srt")))).where("e is not null").select(F.concat(stem, "e").alias("path"))
-    found = detect_language_sidecars(p.where("p_partkey % 2 = 0").select(F.concat(stem, F.lit(".mkv")).alias("video_path")), files)
+    found = detect_language_sidecars(p.select(F.concat(stem, F.lit(".mkv")).alias("video_path")), files)
     return found.select(F.regexp_extract("video_path", r"(\d+)\.mkv", 1).cast("long").alias("p_partkey"), F.col("path").alias("subtitle"))
 
 
@@ -337,9 +338,9 @@ def extension_ranks(spark, d):
     return read(spark, d, "customer").select("c_custkey", F.rank().over(w).alias("rk"), F.dense_rank().over(w).alias("drk"), F.ntile(4).over(w).alias("nt"), F.round(F.percent_rank().over(w), 6).alias("pr"), F.round(F.cume_dist().over(w), 6).alias("cd"))
 
 
-@query("select coalesce(c_custkey, o_custkey) k, count(o_orderkey) n from customer full join (select * from orders where o_custkey % 3 = 0) on c_custkey = o_custkey group by 1")
+@query("select coalesce(c_custkey, o_custkey) k, count(o_orderkey) n from customer full join orders on c_custkey = o_custkey group by 1")
 def extension_full_outer(spark, d):
-    o = read(spark, d, "orders").where("o_custkey % 3 = 0")
+    o = read(spark, d, "orders")
     c = read(spark, d, "customer")
     return c.join(o, c.c_custkey == o.o_custkey, "full").groupBy(F.coalesce("c_custkey", "o_custkey").alias("k")).agg(F.count("o_orderkey").alias("n"))
 
