@@ -187,6 +187,25 @@ def gated_level(df: DataFrame, by: list[str], level: str, absolute: float, relat
     return first.join(mean, by).where(F.col(level) > F.col("_m") - relative).groupBy(*by).agg(F.avg(level).alias("level"))
 
 
+def gated_loudness(samples: DataFrame, by: list[str], place: str, value: str, rate: float, block_ms: float = 400.0, absolute: float = -70.0, relative: float = -10.0) -> DataFrame:
+    """(by, loudness) of a numeric series by blocks with two gates.
+
+    `place` numbers the samples of a series from 0, `rate` a second.  The power of
+    a block is its mean square, its loudness -0.691 + 10 log10 of that; a rest
+    shorter than a block is left out, and a series shorter than one block is
+    measured whole.  Blocks over the absolute gate give a first level; those
+    over that level + `relative` are measured (if none is, the first ones).
+    Null: silence."""
+    size = max(1, int(rate * block_ms / 1000.0))
+    loud = lambda p: F.when(p > 1e-12, F.lit(-0.691) + 10 * F.log10(p))
+    blocks = samples.where(F.col(value).isNotNull()).groupBy(*by, F.floor(F.col(place) / size).alias("_block")).agg(F.avg(F.col(value).cast("double") ** 2).alias("_power"), F.count(F.lit(1)).alias("_n"))
+    whole = blocks.groupBy(*by).agg((F.sum(F.col("_power") * F.col("_n")) / F.sum("_n")).alias("_all"), F.sum((F.col("_n") == size).cast("int")).alias("_full"), F.avg(F.when((F.col("_n") == size) & (loud(F.col("_power")) > absolute), F.col("_power"))).alias("_first"))
+    joined = blocks.where(F.col("_n") == size).join(whole.select(*by, "_first"), by)
+    final = joined.where((loud(F.col("_power")) > absolute) & (loud(F.col("_power")) > loud(F.col("_first")) + relative)).groupBy(*by).agg(F.avg("_power").alias("_final"))
+    power = F.when(F.col("_full") == 0, F.col("_all")).otherwise(F.when(F.col("_first") > 1e-12, F.coalesce("_final", "_first")))
+    return whole.join(final, by, "left").select(*by, loud(power).alias("loudness"))
+
+
 def watermark_lines(cues: DataFrame, by: list[str], key: str, text: str, least: int = 5, share: float = 0.08, latin: float = 0.5) -> DataFrame:
     """Lines that recur: in at least `least` and `share` of the group's multi-line cues, most of their characters ASCII letters."""
     lines = F.split(F.col(text), "\n")

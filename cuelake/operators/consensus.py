@@ -36,14 +36,51 @@ def _first_best(votes: Counter) -> tuple[str, float]:
     return max(votes.items(), key=lambda kv: kv[1])
 
 
-def restore_dropped(text: str, readings: list[tuple[str, float]], lost: str = "一", strong: float = 0.92, fair: float = 0.85) -> str:
-    """A thin leading character that weak strokes hide comes back if readings of trust have it: one strong one, or two fair ones."""
-    if not text or text.startswith(lost):
+#: The stroke that is lost most, what counts as a strong and a fair reading, and how many of either bring back that stroke and any other character.
+LOST, STRONG, FAIR = "一", 0.92, 0.85
+ENOUGH_LOST, ENOUGH_OTHER = (1, 2), (2, 4)
+_IDEOGRAPH = re.compile("[\u4e00-\u9fff\u3400-\u4dbf\u3040-\u30ff]")
+
+
+def _longest_run(text: str) -> int:
+    return max((len(m[0]) for m in re.finditer(r"(.)\1*", text, re.S)), default=0)
+
+
+def _with_one_more(text: str, reading: str) -> tuple[int, str] | None:
+    """Where and what a reading of one character more adds: at the front, else at the end any CJK character, else LOST inside."""
+    if len(reading) != len(text) + 1:
+        return None
+    if reading[1:] == text and _IDEOGRAPH.match(reading[0]):
+        return 0, reading[0]
+    if reading[:-1] == text and _IDEOGRAPH.match(reading[-1]):
+        return len(text), reading[-1]
+    inner = (i for i in range(1, len(reading)) if reading[i] == LOST and reading[:i] + reading[i + 1 :] == text)
+    at = next(inner, None)
+    return None if at is None else (at, LOST)
+
+
+def restore_dropped(text: str, readings: list[tuple[str, float]]) -> str:
+    """A character that weak strokes hide comes back if readings of trust have it.
+
+    Any CJK character may come back at either end, LOST inside too.  Of several
+    the one with most evidence (strong readings count twice, the first among
+    equals) is looked at: LOST needs ENOUGH_LOST, others ENOUGH_OTHER (strong
+    readings, or fair ones).  Nothing comes back that would make a longer run of
+    one character than the text has."""
+    evidence: dict[tuple[int, str], list[int]] = {}
+    for reading, conf in readings:
+        added = _with_one_more(text, reading)
+        if added:
+            seen = evidence.setdefault(added, [0, 0])
+            seen[0] += conf >= STRONG
+            seen[1] += FAIR <= conf < STRONG
+    if not evidence:
         return text
-    trust = [c for t, c in readings if t == lost + text]
-    if sum(c >= strong for c in trust) >= 1 or sum(c >= fair for c in trust) >= 2:
-        return lost + text
-    return text
+    (at, char), (strong, fair) = max(evidence.items(), key=lambda e: 2 * e[1][0] + e[1][1])
+    least_strong, least_fair = ENOUGH_LOST if char == LOST else ENOUGH_OTHER
+    restored = text[:at] + char + text[at:]
+    enough = strong >= least_strong or fair >= least_fair
+    return restored if enough and _longest_run(restored) <= _longest_run(text) else text
 
 
 def restore_spaces(text: str, readings: list[tuple[str, float]], strong: float = 0.92, fair: float = 0.85) -> str:

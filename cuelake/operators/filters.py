@@ -7,10 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.similarity import partial_ratio_udf
 
 #: Short Latin tokens that stay beside CJK text.
 LATIN_KEPT = ("OK", "TV", "CEO", "VIP", "KTV", "DNA", "APP", "WIFI", "AI", "PK", "NO", "YES", "HI", "BYE", "GPS", "USB", "CD", "DVD", "MV", "IQ", "EQ")
 
+#: How near a neighbour is that a text may be a part of, and how alike.
+EDGE_SEC, EDGE_RATIO = 0.40, 80.0
+
 
 def noise_box(text: Column, conf: Column) -> Column:
     """A box that is no text: blank, signs alone, or a weak single or repetitive token."""
@@ -114,15 +118,44 @@ def flash_fragments(cues: DataFrame, shortest: float = 0.18, rows: int = 3, seco
     return n.join(gone, ["video_id", "_k"], "left_anti").select(cues.columns)
 
 
-def short_texts(cues: DataFrame) -> DataFrame:
-    """cues without short weak texts: few characters, low confidence or few frames, and no strong neighbour alike."""
-    w = W.partitionBy("video_id").orderBy("start_sec", "idx")
-    t = F.regexp_replace("text", r"[\s\p{P}\p{S}]", "")
-    n, k = F.length(t), T.cjk_count(t)
-    echo = F.contains(F.coalesce(F.lag("text").over(w), F.lit("")), F.col("text")) | F.contains(F.coalesce(F.lead("text").over(w), F.lit("")), F.col("text"))
-    drop = (n == 0) | ((k == 1) & (n == 1) & ((F.col("confidence") < 0.60) | ((F.col("frame_count") <= 2) & (F.col("confidence") < 0.85)))) | ((k == 0) & (n <= 2) & ((F.col("confidence") < 0.85) | (F.col("frame_count") <= 2)))
-    drop |= (n <= 2) & echo & (F.col("frame_count") <= 2) & (F.col("confidence") < 0.90)
-    return cues.withColumn("_drop", drop).where(~F.coalesce("_drop", F.lit(False))).select(cues.columns)
+def short_texts(cues: DataFrame, latin_least: int = 0) -> DataFrame:
+    """cues without short weak texts; kept texts are trimmed.
+
+    Limits go by CJK characters k, other letters and digits r, confidence and
+    frames.  A part of a neighbour within EDGE_SEC (contained in it, or alike by
+    EDGE_RATIO) is a text that appears or fades, and so is a single CJK
+    character that begins the next text; these stay.  Without a letter or digit
+    a text goes.  With `latin_least`, shorter texts go (CJK texts: one
+    character is enough).  A null confidence or frame count goes as 0."""
+    order = W.partitionBy("video_id").orderBy("start_sec", "idx")
+    clean = F.regexp_replace("_t", r"[^\p{L}\p{N}]", "")
+    seen = cues.withColumns({"_t": F.trim(F.coalesce("text", F.lit(""))), "_c": F.coalesce("confidence", F.lit(0.0)), "_f": F.coalesce("frame_count", F.lit(0))})
+    seen = seen.withColumns({"_w": clean, "_x": F.regexp_replace("_t", " ", "")})
+    for side, at in (("before", F.lag), ("after", F.lead)):
+        gap = F.col("start_sec") - at("end_sec").over(order) if side == "before" else at("start_sec").over(order) - F.col("end_sec")
+        seen = seen.withColumns({f"_{side}": at("_x").over(order), f"_{side}_gap": gap})
+    seen = seen.withColumn("_next", F.lead("_t").over(order)).withColumns({"_k": T.cjk_count("_w"), "_n": F.length("_w")}).withColumn("_r", F.col("_n") - F.col("_k"))
+    k, r, n, c, f = (F.col(f"_{x}") for x in "krncf")
+    flash = F.expr("_r = 0 and _k between 3 and 24 and _f <= 2 and _c < 0.78")
+    garbled = F.expr("_r = 0 and _k between 4 and 24 and _f between 3 and 15 and _c < 0.76 and end_sec - start_sec < 0.80")
+    unsure = flash | garbled
+    edge = F.lit(False)
+    for side in ("before", "after"):
+        near = unsure & (F.coalesce(F.col(f"_{side}"), F.lit("")) != "") & (F.col(f"_{side}_gap") <= EDGE_SEC)
+        # texts that needn't be compared are blank, and equal blanks are scored once a batch
+        alike = partial_ratio_udf(F.when(near, F.col("_x")).otherwise(F.lit("")), F.when(near, F.col(f"_{side}")).otherwise(F.lit("")))
+        edge |= near & (F.contains(F.col(f"_{side}"), F.col("_x")) | (alike >= EDGE_RATIO))
+    intro = F.expr("_after_gap between 0.0 and 0.5 and length(_next) >= 3 and _c >= 0.60") & (F.substring("_next", 1, 1) == F.substring("_w", 1, 1))
+    one = (k == 1) & (r == 0) & ~F.coalesce(intro, F.lit(False)) & F.expr("_f <= 2 or _c < if(_f >= 5, 0.72, 0.75)")
+    cjk = F.expr(
+        "(_k >= 25 and _c < 0.80 and _f <= 15) or (_k <= 2 and _r >= greatest(_k, 2) and _c < 0.85) or (_k <= 3 and _r >= 1 and _f <= 2 and _c < 0.75)"
+        " or (_k = 2 and _r = 0 and (_f <= 1 or _c < 0.65)) or (_k >= 3 and _r >= 1 and _f <= 2 and _c < 0.82)"
+    )
+    latin = latin_gibberish(F.col("_w"), c, f) | F.expr("_f <= 2 and _n <= 2 and _c < 0.90") | (F.expr("_f <= 2 and _c < 0.80 and _n <= 10") & ~F.upper("_w").isin(*LATIN_KEPT))
+    drop = (n == 0) | F.when(k > 0, cjk | one | (unsure & ~edge)).otherwise(latin)
+    if latin_least > 0:
+        drop |= n < T.adaptive_least_chars("_w", latin_least)
+    return seen.where(~drop).withColumn("text", F.col("_t")).select(cues.columns)
 
 
 def translatable_lines(lines: DataFrame, by: list[str], text: str, cjk_source: bool, noise_share: float = 0.90) -> DataFrame:

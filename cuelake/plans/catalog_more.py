@@ -274,6 +274,37 @@ def gated_level(spark, d):
     return A.gated_level(frames(spark, d), ["user_id"], "value", 5.0, 10.0).withColumn("level", F.round("level", 6))
 
 
+@query("""with s as (select user_id, row_number() over (partition by user_id order by event_id) - 1 i, value / 500 x from events), b as (select user_id, i // 4 b, avg(x * x) p, count(*) n from s where x is not null group by 1, 2),
+  w as (select user_id, sum(p * n) / sum(n) p, count(*) filter (n = 4) full_blocks from b group by 1), l as (select user_id, p, -0.691 + 10 * log10(p) l from b where n = 4 and p > 1e-12), f as (select user_id, avg(p) p from l where l > -70 group by 1),
+  g as (select user_id, avg(l.p) p from l join f using (user_id) where l.l > -70 and l.l > -0.691 + 10 * log10(f.p) - 2 group by 1)
+  select user_id, round(-0.691 + 10 * log10(case when full_blocks = 0 then w.p else coalesce(g.p, f.p) end), 6) loudness from w left join f using (user_id) left join g using (user_id)""")
+def gated_loudness(spark, d):
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1
+    samples = read(spark, d, "events").select("user_id", place.alias("i"), (F.col("value") / 500).alias("x"))
+    return A.gated_loudness(samples, ["user_id"], "i", "x", 10.0, relative=-2.0).withColumn("loudness", F.round("loudness", 6))
+
+
+@query("""with r as (select *, row_number() over (partition by user_id order by event_id) i from events), s as (select *, max(case when i = 2 then value / 100 end) over (partition by user_id) e from r)
+  select user_id, event_id, (case when i <= 2 or e is null or e <= 0 then 16 else greatest(1, least(256, floor(24 / e))) end)::bigint batch_size from s""")
+def tuned_batches(spark, d):
+    from ..streaming.stateful import tuned_batches as tune
+
+    e = read(spark, d, "events").select("user_id", "event_id", (F.col("value") / 100).alias("sec"))
+    return tune(e, ["user_id"], ["event_id"], "sec").drop("sec")
+
+
+@query()
+def quota_outcomes(spark, d):
+    """Every event asks for a request; purchases tell what they really used, errors give theirs back, and a user's day has ten."""
+    from ..streaming.stateful import quota_batch
+
+    e = read(spark, d, "events")
+    ts = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    ask = e.select(F.col("user_id").cast("string").alias("key"), ts.alias("ts"), F.col("event_id").cast("string").alias("id"), F.lit("acquire").alias("kind"), F.col("value").cast("double").alias("amount"))
+    more = e.where("event_type in ('purchase', 'error')").select(F.col("user_id").cast("string").alias("key"), (ts + 0.001).alias("ts"), F.col("event_id").cast("string").alias("id"), F.when(F.col("event_type") == "error", "release").otherwise("reconcile").alias("kind"), (F.col("value") / 2).cast("double").alias("amount"))
+    return quota_batch(ask.unionByName(more), (2, 600, 10))
+
+
 @query(f"""with s as (select user_id, session_no, start_us t_start, end_us t_end from {sessions_sql(6 * HOUR)}), c as (select user_id, session_no c_no, start_us c_start, end_us c_end from {sessions_sql(24 * HOUR)}) select user_id, session_no, c_no from s join c using (user_id) where c_start < t_end and c_end > t_start""")
 def chunk_coverage(spark, d):
     f = frames(spark, d)

@@ -46,6 +46,40 @@ def one_at_a_time(axes: list[Axis], base: dict[str, float]) -> list[dict[str, fl
     return out
 
 
+#: The recogniser's parameters as they are in use, and those that each space tries.
+RECOGNISER = dict(
+    detector="mobile", recogniser="mobile", det_thresh=0.30, box_thresh=0.6, unclip=1.5, rec_score=0.0, side_len=960, step_sec=0.04, batch=16,
+    contrast=True, contrast_clip=3.0, sharpen=False, height=96, border=True, border_px=8,
+)
+MINIMAL = dict(det_thresh=[0.3, 0.2], rec_score=[0.0, 0.4], step_sec=[0.04, 0.08])
+EXHAUSTIVE = dict(
+    detector=["mobile", "server"], recogniser=["mobile", "server"], det_thresh=[0.15, 0.20, 0.30], box_thresh=[0.5, 0.6], unclip=[1.5, 2.0, 2.5], side_len=[736, 960, 1280],
+    step_sec=[0.04, 0.08], contrast=[True, False], sharpen=[False, True], height=[96, 128],
+)
+#: Parts of the standard space: what is changed for the whole part, and what it tries.
+STANDARD = (
+    ({}, dict(recogniser=["mobile", "server"], det_thresh=[0.30, 0.20, 0.15], unclip=[1.5, 2.0, 2.5])),
+    (dict(detector="server", recogniser="server", det_thresh=0.15, box_thresh=0.5, unclip=2.0, batch=8, height=128, border_px=12), dict(sharpen=[False, True], contrast_clip=[3.0, 4.0])),
+    ({}, dict(step_sec=[0.04, 0.06, 0.08, 0.10, 0.15])),
+    ({}, dict(side_len=[736, 960, 1280, 1600])),
+)
+SINGLE = dict(side_len=[736, 1280, 1600], box_thresh=[0.4, 0.5, 0.7], unclip=[1.8, 2.0, 2.5], det_thresh=[0.15, 0.20, 0.40], rec_score=[0.3, 0.5, 0.7], recogniser=["server"], detector=["server"])
+
+
+def combinations(values: dict[str, list], base: dict = RECOGNISER) -> list[dict]:
+    """Every combination of the values, on top of base; the last name varies fastest."""
+    return [base | dict(zip(values, v)) for v in itertools.product(*values.values())]
+
+
+def recogniser_space(name: str) -> list[dict]:
+    """Settings of a named space: minimal, standard, exhaustive, or single (the base and each change alone, then both models)."""
+    if name == "single":
+        alone = [RECOGNISER | {k: v} for k, tried in SINGLE.items() for v in tried]
+        return [RECOGNISER, *alone, RECOGNISER | dict(detector="server", recogniser="server")]
+    parts = {"minimal": (({}, MINIMAL),), "exhaustive": (({}, EXHAUSTIVE),), "standard": STANDARD}[name]
+    return [c for changed, values in parts for c in combinations(values, RECOGNISER | changed)]
+
+
 def params_frame(spark: SparkSession, candidates: list[dict[str, float]]) -> DataFrame:
     """candidate (number) and its parameters as a small table, to be cross-joined or broadcast."""
     names = sorted(candidates[0])

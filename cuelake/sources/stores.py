@@ -1,7 +1,8 @@
 """Keyed tables as Parquet folders: projects, memories, sessions, plans and checkpoints.
 
 Parquet has no update, so a change is an anti-join and a union written beside
-the table and then swapped in; only the touched partitions are rewritten.
+the table and then swapped in.  The whole table is rewritten: these tables are
+small beside the data they describe.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from ..operators.sets import cached_plan, upsert
 
 
 class Store:
-    """A Parquet table with keys, split by `partition` so that an upsert rewrites few files."""
+    """A Parquet table with keys, split by `partition` if that is given."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], partition: str | None = None):
         self.spark, self.path, self.schema, self.keys, self.partition = spark, path, schema, keys, partition
@@ -67,6 +68,24 @@ class Store:
         return self.read().groupBy(by).count().orderBy(F.desc("count"), by)
 
 
+def tables_of(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the tables in a folder: the folders in it that aren't hidden or left over from a change."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listStatus(path) if fs.exists(path) else []
+    names = [s.getPath().getName() for s in found if s.isDirectory()]
+    return sorted(n for n in names if n[0] not in "._" and not n.endswith((".new", ".old")))
+
+
+def reset_all(spark: SparkSession, folder: str) -> list[str]:
+    """Empties every table of a folder, each keeps its columns; returns their names."""
+    names = tables_of(spark, folder)
+    for n in names:
+        path = f"{folder}/{n}"
+        Store(spark, path, spark.read.parquet(path).schema.simpleString()[7:-1].replace(":", " "), []).reset()
+    return names
+
+
 def replace_stage(session: DataFrame, stage: str, lines) -> DataFrame:
     """A session row's array `stages` of struct(name, lines) with one stage put in place, last."""
     kept = F.filter("stages", lambda s: s["name"] != stage)

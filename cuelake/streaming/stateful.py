@@ -6,10 +6,14 @@ stream runs; the same step functions serve the batch forms.
 
 from __future__ import annotations
 
+import datetime
+import json
 from collections.abc import Iterator
+from zoneinfo import ZoneInfo
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -156,3 +160,142 @@ def adaptive_limits_batch(outcomes: DataFrame, start: int = 8) -> DataFrame:
         return pd.DataFrame({"key": key[0], "ts": pdf["ts"].to_numpy(), "concurrency": limits})
 
     return outcomes.groupBy("key").applyInPandas(fold, "key string, ts double, concurrency int")
+
+
+#: The day of a quota begins at midnight there; a window of requests and tokens is this many seconds.
+QUOTA_ZONE, QUOTA_SEC = ZoneInfo("America/Los_Angeles"), 60.0
+QUOTA_SCHEMA = "key string, ts double, id string, kind string, outcome string, wait_sec double, requests int, tokens long, day_left int"
+_QUOTA_COLUMNS = [c.split()[0] for c in QUOTA_SCHEMA.split(", ")]
+
+
+def quota_day(ts: float) -> str:
+    return datetime.datetime.fromtimestamp(ts, QUOTA_ZONE).date().isoformat()
+
+
+def quota_step(state: dict | None, row: tuple, limits: tuple[int, int, int]) -> tuple[dict, tuple]:
+    """(new state, (outcome, wait_sec, requests, tokens, day_left)) of one event (ts, id, kind, amount).
+
+    limits: requests and tokens a window, requests a day.  Kinds: `acquire` asks
+    for a request of so many tokens: "granted", "exhausted" for the day, or, with
+    the seconds to wait, what stands in the way: "cooldown", "requests" or
+    "tokens" (the last of them that does; the longest wait).  `reconcile` puts
+    the tokens really used in place of the reserved ones; `release` gives all of
+    a request back, its place in the day too; `limited` starts a cooldown of
+    `amount` seconds, never shortening one; `day_out` marks the day as used up.
+    Nothing is kept of a request whose window has passed."""
+    ts, id_, kind, amount = row
+    per_window, most_tokens, per_day = limits
+    state = state or {"held": [], "day": None, "count": 0, "cool": 0.0}
+    held = [h for h in state["held"] if ts - h[1] < QUOTA_SEC]
+    day = quota_day(ts)
+    count = state["count"] if state["day"] == day else 0
+    cool, outcome, wait = state["cool"], "done", 0.0
+    tokens = sum(h[2] for h in held)
+    amount = 0.0 if amount is None else amount
+    if kind == "acquire":
+        asked = max(1, int(amount))
+        if count >= per_day:
+            outcome = "exhausted"
+        else:
+            oldest = QUOTA_SEC - (ts - held[0][1]) if held else 0.0
+            blocks = [("cooldown", cool - ts)] * (cool > ts) + [("requests", oldest)] * (len(held) >= per_window) + [("tokens", oldest)] * (bool(held) and tokens + asked > most_tokens)
+            if blocks:
+                outcome, wait = blocks[-1][0], max(w for _, w in blocks)
+            else:
+                outcome, count = "granted", count + 1
+                held.append([id_, ts, asked])
+    elif kind == "reconcile":
+        held = [[i, t, max(1, int(amount)) if i == id_ else n] for i, t, n in held]
+    elif kind == "release":
+        held, count = [h for h in held if h[0] != id_], max(0, count - 1)
+    elif kind == "limited":
+        cool = max(cool, ts + amount) if amount > 0 else cool
+    elif kind == "day_out":
+        count = max(count, per_day)
+    new = {"held": held, "day": day, "count": count, "cool": cool}
+    return new, (outcome, float(wait), len(held), sum(h[2] for h in held), max(0, per_day - count))
+
+
+def _quota_rows(key: str, state: dict | None, events: list[tuple], limits) -> tuple[pd.DataFrame, dict | None]:
+    out = []
+    for ts, id_, kind, amount in events:
+        state, answer = quota_step(state, (ts, id_, kind, amount), limits)
+        out.append((key, ts, id_, kind, *answer))
+    return pd.DataFrame(out, columns=_QUOTA_COLUMNS), state
+
+
+def _quota_events(frames) -> list[tuple]:
+    rows = [r for pdf in frames for r in pdf[["ts", "id", "kind", "amount"]].itertuples(index=False, name=None)]
+    return sorted(((ts, id_, kind, None if amount != amount else amount) for ts, id_, kind, amount in rows), key=lambda r: r[0])
+
+
+class Quota(StatefulProcessor):
+    """quota_step over a stream; the state is one window's requests, the day's count and the cooldown."""
+
+    def __init__(self, limits: tuple[int, int, int]):
+        self.limits = limits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "state string")
+
+    def handleInputRows(self, key, rows, timers):
+        state = json.loads(self.now.get()[0]) if self.now.exists() else None
+        out, state = _quota_rows(key[0], state, _quota_events(rows), self.limits)
+        self.now.update((json.dumps(state),))
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def quota(events: DataFrame, limits: tuple[int, int, int]) -> DataFrame:
+    """key, ts (seconds), id, kind, amount -> what becomes of each event; keys (account and model) have limits of their own."""
+    return events.groupBy("key").transformWithStateInPandas(Quota(limits), QUOTA_SCHEMA, "Append", "none")
+
+
+def quota_batch(events: DataFrame, limits: tuple[int, int, int]) -> DataFrame:
+    """The batch form of quota."""
+    return events.groupBy("key").applyInPandas(lambda key, pdf: _quota_rows(key[0], None, _quota_events([pdf]), limits)[0], QUOTA_SCHEMA)
+
+
+def tuned_size(size: int, elapsed: float, index: int, target: float = 1.5, least: int = 1, most: int = 256) -> int:
+    """The batch size after batch `index` (from 0): set once, after the second batch, to what takes `target` seconds."""
+    return max(least, min(most, int(size * target / elapsed))) if index == 1 and elapsed > 0 else size
+
+
+def tuned_batches(batches: DataFrame, by: list[str], order: list[str], elapsed: str, start: int = 16, target: float = 1.5, least: int = 1, most: int = 256) -> DataFrame:
+    """batches with the size each of them has: `start` for the first two, then that of tuned_size.  A null time tunes nothing."""
+    w = W.partitionBy(*by)
+    ranked = batches.withColumn("_i", F.row_number().over(w.orderBy(*order)))
+    second = F.max(F.when(F.col("_i") == 2, F.col(elapsed).cast("double"))).over(w)
+    tuned = F.when(second > 0, F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.lit(start * target) / second)))).otherwise(F.lit(start))
+    return ranked.withColumn("batch_size", F.when(F.col("_i") <= 2, F.lit(start)).otherwise(tuned).cast("long")).drop("_i")
+
+
+class FrameCache:
+    """Frames of one source at a time, whole or not at all: a table of more than `most` rows isn't kept, since a cut one would lose cues."""
+
+    def __init__(self, most: int = 20_000):
+        self.most, self.key, self.frames = most, None, None
+
+    @staticmethod
+    def signature(source: str, **settings) -> str:
+        """A key that differs whenever any setting that changes the frames does."""
+        return source + "|" + json.dumps(settings, sort_keys=True, default=str)
+
+    def get(self, key: str) -> DataFrame | None:
+        return self.frames if self.key == key else None
+
+    def put(self, key: str, frames: DataFrame) -> bool:
+        """Whether the frames are kept; they take the place of the last ones."""
+        if frames.limit(self.most + 1).count() > self.most:
+            return False
+        kept = frames.persist()
+        self.clear()
+        self.key, self.frames = key, kept
+        return True
+
+    def clear(self) -> None:
+        if self.frames is not None:
+            self.frames.unpersist()
+        self.key = self.frames = None
