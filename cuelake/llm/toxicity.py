@@ -38,14 +38,6 @@ FEATURES = (
 )
 
 
-def text_words(texts: list[str]):
-    """(hashes, starts, ends, first word of each text, bytes, offsets) of some texts."""
-    raw = [t.encode() for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    return *tk.words(data, offsets, tk.ALNUM, tk.LOWER_ASCII), data, offsets
-
-
 def beginnings(data, starts, ends, length: int) -> np.ndarray:
     """Hash of the first bytes of each word; 0 for shorter words."""
     out = np.zeros(len(starts), np.uint64)
@@ -71,31 +63,39 @@ def distinct_texts(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
 
 
 class Occurrences:
-    """Which of some labelled texts hold which words and word beginnings, each once."""
-
-    def __init__(self, rows: list[tuple[str, int]]):
-        hashes, starts, ends, first, data, _ = text_words([t for t, _ in rows])
-        self.label = np.array([y for _, y in rows])
-        doc = np.repeat(np.arange(len(rows)), np.diff(first))
-        self.word = self._pairs(hashes, doc)
-        self.prefix = {n: self._pairs(beginnings(data, starts, ends, n), doc) for n in PREFIX_BYTES}
-
-    @staticmethod
-    def _pairs(keys, doc):
-        """(names, name of each pair, text of each pair)."""
-        order = np.lexsort((doc, keys))
-        k, d = keys[order], doc[order]
-        some = k != 0
-        some[1:] &= (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-        name, at = np.unique(k[some], return_inverse=True)
-        return name, at, d[some]
+    """Which of some labelled texts hold which words and word beginnings, each once; of those that `least` texts of label 1 hold."""
+
+    def __init__(self, rows: list[tuple[str, int]], least: int = 4):
+        self.label, self.least = np.array([y for _, y in rows]), least
+        texts = pa.array([t for t, _ in rows], pa.string())
+        self.word = self._pairs(texts, 0)
+        self.prefix = {n: self._pairs(texts, n) for n in PREFIX_BYTES}
+
+    def _pairs(self, texts, length: int):
+        """(names, name of each pair, text of each pair), read slice by slice."""
+        keys, docs = [], []
+        for row, _, data, offsets in tk.text_slices(texts):
+            hashes, starts, ends, first = tk.words(data, offsets, tk.ALNUM, tk.LOWER_ASCII)
+            key = beginnings(data, starts, ends, length) if length else hashes
+            doc = np.repeat(np.arange(row, row + len(offsets) - 1, dtype=np.int32), np.diff(first))
+            order = np.lexsort((doc, key))
+            k, d = key[order], doc[order]
+            some = k != 0
+            some[1:] &= (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+            keys.append(k[some])
+            docs.append(d[some])
+        name, at = np.unique(np.concatenate(keys), return_inverse=True)
+        doc = np.concatenate(docs)
+        keep = np.bincount(at, self.label[doc], len(name)) >= self.least
+        own = keep[at]
+        return name[keep], (np.cumsum(keep) - 1)[at[own]], doc[own]
 
 
 class Lexicon:
     """Words and word beginnings with the log odds of label 1 where they occur, from the texts marked in `use`."""
 
-    def __init__(self, found: Occurrences, use: np.ndarray, least: int = 4, odds: float = 2.0):
-        marks = lambda pairs: self._marks(*pairs, found.label, use, least, odds)
+    def __init__(self, found: Occurrences, use: np.ndarray, odds: float = 2.0):
+        marks = lambda pairs: self._marks(*pairs, found.label, use, found.least, odds)
         self.word = marks(found.word)
         self.prefix = {n: marks(pairs) for n, pairs in found.prefix.items()}
 

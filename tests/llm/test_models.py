@@ -62,9 +62,9 @@ def test_trees_by_plain_descent():
 
 def test_lexicon_by_counting():
     rows = [("bad words here", 1)] * 6 + [("good words here", 0)] * 20 + [("bad bad", 1)] * 2 + [("Bad luck", 0)]
-    found = toxicity.Occurrences(rows)
+    found = toxicity.Occurrences(rows, least=2)
     use = np.arange(len(rows)) % 3 != 0
-    lexicon = toxicity.Lexicon(found, use, least=2, odds=0.5)
+    lexicon = toxicity.Lexicon(found, use, odds=0.5)
     h = tk.words(np.frombuffer(b"bad good", np.uint8), np.array([0, 8]), tk.ALNUM, tk.LOWER_ASCII)[0]
     n1, n0 = sum(y for (_, y), u in zip(rows, use) if u), sum(1 - y for (_, y), u in zip(rows, use) if u)
     one = sum(u for (t, y), u in zip(rows, use) if y and "bad" in t.lower())
