@@ -95,19 +95,19 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST
     return F.broadcast(df) if rows <= limit and (held or 0) <= most else df
 
 
-def salted_join(many: DataFrame, few: DataFrame, key: str, each: int = SALTED_ROWS) -> DataFrame:
+def salted_join(many: DataFrame, few: DataFrame, key: str | list[str], each: int = SALTED_ROWS) -> DataFrame:
     """many inner join few on a key that few holds once.  Where few isn't small, a key that `many` holds often is dealt over
-    tasks of `each` rows about, and few's row for it is repeated as often."""
+    tasks of `each` rows about, and few's row for it is repeated as often.  `many` is read twice and should be a table."""
+    key = [key] if isinstance(key, str) else key
     side = small_side(few)
     if side is not few:
         return many.join(side, key)
-    many = cut(many, "many")
-    hot = small_side(cut(many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / each).alias("_salts")).where("_salts > 1"), "hot"))
-    rest = [c for c in many.columns if c != key]
-    left = many.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("_salts")), F.lit(0).cast("long"))).drop("_salts")
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1).cast("long")) - 1))
-    right = few.join(hot, key, "left").withColumn("_salt", copies).drop("_salts")
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    hot = small_side(cut(many.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / each).alias("_salts")).where("_salts > 1"), "hot"))
+    salt = lambda df, how: df.join(hot, key, "left").withColumn("_salt", how).drop("_salts")
+    rest = [c for c in many.columns if c not in key]
+    left = salt(many, F.coalesce(F.pmod(F.xxhash64(*rest), F.col("_salts")), F.lit(0).cast("long")))
+    right = salt(few, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1).cast("long")) - 1)))
+    return left.join(right, [*key, "_salt"]).drop("_salt")
 
 
 def partitions(spark: SparkSession, rows: float, rows_each: float) -> int:

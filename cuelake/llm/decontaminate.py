@@ -223,7 +223,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: i
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     scanned = numbered.mapInArrow(_scan(held, short, window, gram, [*carried, "row"]), f"{schema}, row long, n_words long, windows binary")
     scanned = cut(scanned, "scanned")
-    hits = scanned.where("windows is not null").select("row", "windows").mapInArrow(_unpacked, "row long, key long, at int, size int")
+    hits = cut(scanned.where("windows is not null").select("row", "windows").mapInArrow(_unpacked, "row long, key long, at int, size int"), "candidates")
     joint = salted_join(hits, listed.select("key", "list"), "key")
     per_row = joint.groupBy("row").agg(F.collect_list(F.struct("at", "size", "list")).alias("hits"))
     per_row = cut(per_row.mapInArrow(_spans, "row long, n_hit long, lists array<long>").withColumn("combination", F.xxhash64("lists")), "hits")

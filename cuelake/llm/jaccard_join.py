@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import cut, drop_cut, only, partitions, shared_folder, small_side
+from .common import cut, drop_cut, only, partitions, salted_join, shared_folder, small_side
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -458,7 +458,7 @@ def _linked(docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     sets, classes = _classes(docs)
     # of each class the row of its representative; a row is told by doc_id and text
-    others = sets.join(classes.where("class_size > 1").select(*_KEY, "rep"), _KEY).where("doc_id is not null and struct(doc_id, text_hash) <> rep").select("doc_id", "text_hash").distinct()
+    others = salted_join(sets, classes.where("class_size > 1").select(*_KEY, "rep"), _KEY).where("doc_id is not null and struct(doc_id, text_hash) <> rep").select("doc_id", "text_hash").distinct()
     first = docs.where("doc_id is not null").join(small_side(cut(others, "others")), ["doc_id", "text_hash"], "left_anti").select("doc_id", "text_hash", "text")
     first = _once(first, sets)
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
@@ -472,11 +472,15 @@ def _linked(docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         alive = cut(alive.join(heavy, "node", "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long"))), "alive")
         label = cut(_components_of(alive, num, den), "label")
         found = classes.join(label, "node", "left").withColumns({"group": F.coalesce("group", "node"), "links": F.coalesce("links", F.lit(0).cast("long"))})
-        least = found.groupBy(F.col("group").alias("_group")).agg(F.min("rep.doc_id").alias("component_id"))
-        found = found.join(least, F.col("group") == F.col("_group")).drop("_group")
-    found = found.select(*_KEY, "group", "component_id", "class_size", "weight", "links")
-    own = F.when(F.col("weight").isNull(), 0).otherwise(F.col("weight") + F.col("links") - F.col("doc_id").isNotNull().cast("long"))
-    return sets.join(found, _KEY, "left").select("doc_id", "text_hash", "n_shingles", "group", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), own.cast("long").alias("n_links"))
+        found = cut(found, "grouped")
+        # a component may hold a third of all classes, and a class a third of all rows
+        found = salted_join(found, cut(found.groupBy("group").agg(F.min("rep.doc_id").alias("component_id")), "least"), "group")
+    found = cut(found.select(*_KEY, "group", "component_id", "class_size", "weight", "links"), "labelled")
+    row = ["doc_id", "text_hash", "n_shingles"]
+    n_links = F.col("weight") + F.col("links") - F.col("doc_id").isNotNull().cast("long")
+    some = salted_join(sets.where("n_shingles > 0"), found, _KEY).select(*row, "group", F.coalesce("component_id", "doc_id").alias("component_id"), "class_size", n_links.alias("n_links"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return some.unionByName(sets.where("n_shingles = 0").select(*row, F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id"), one.alias("class_size"), none.alias("n_links")))
 
 
 def similarity_components(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -553,8 +557,8 @@ def keep_first_of_component(docs: DataFrame, threshold: tuple[int, int] = THRESH
     shared_folder(docs.sparkSession)
     found = cut(_linked(only(docs, doc_id="long", text="string"), threshold).where("doc_id is not null and n_shingles > 0"), "found")
     row = F.struct("doc_id", "text_hash")
-    first = found.groupBy("group").agg(F.min(row).alias("first"))
-    away = cut(found.join(first, "group").where(row != F.col("first")).select(F.col("doc_id").alias("_away"), F.col("text_hash").alias("_away_text")).distinct(), "away")
+    first = cut(found.groupBy("group").agg(F.min(row).alias("first")), "first")
+    away = cut(salted_join(found, first, "group").where(row != F.col("first")).select(F.col("doc_id").alias("_away"), F.col("text_hash").alias("_away_text")).distinct(), "away")
     twice = cut(found.groupBy(F.col("doc_id").alias("_twice"), F.col("text_hash").alias("_twice_text")).count().where("count > 1").drop("count"), "twice")
     same = lambda side, name: (docs["doc_id"].cast("long") == side[name]) & (F.xxhash64(docs["text"].cast("string")) == side[f"{name}_text"])
     away, twice = small_side(away), small_side(twice)

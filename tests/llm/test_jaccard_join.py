@@ -75,8 +75,13 @@ def test_components_equal_brute_force(spark, seed):
 
 
 def small_parts(monkeypatch):
+    import cuelake.llm.common as c
     import cuelake.llm.jaccard_join as j
 
+    # nothing is small enough for a broadcast, and three rows of one key are many
+    monkeypatch.setattr(c, "small_side", lambda df: df)
+    monkeypatch.setattr(j, "small_side", lambda df: df)
+    monkeypatch.setattr(j, "salted_join", lambda many, few, key: c.salted_join(many, few, key, 3))
     for name, value in {"CLUSTER_SETS": 3, "PAIR_SETS": 2, "PAIR_TOKENS": 100, "LIST_PART": 4, "LIST_BLOCK": 3, "BLOCK_TOKENS": 500, "RANGE_TOKENS": 300, "TASK_TOKENS": 2_000}.items():
         monkeypatch.setattr(j, name, value)
 
