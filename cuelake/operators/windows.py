@@ -25,6 +25,22 @@ def run_lengths(df: DataFrame, by: list[str], value: str, order: list[str], out:
     return df.withColumn(out, F.sum(F.when(first | ~F.col(value).eqNullSafe(F.lag(value).over(w)), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
 
 
+def absorbed_runs(df: DataFrame, by: list[str], value: str, order: list[str], at: str, noise: int = 2) -> DataFrame:
+    """Runs of equal values (white space apart) as rows by, run_no, value, start_<at>, end_<at>, n; a run of up to `noise` rows
+    belongs to what stands before it, and neighbours that are equal then are one.  A first run stands however short it is."""
+    plain = df.withColumn("_key", F.regexp_replace(F.coalesce(value, F.lit("")), r"\s", ""))
+    runs = run_lengths(plain, by, "_key", order, "_run").groupBy(*by, "_run").agg(
+        F.first("_key").alias("_key"), F.min_by(value, F.struct(*order)).alias(value), F.min(at).alias("_start"), F.max(at).alias("_end"), F.count(F.lit(1)).alias("_n")
+    )
+    w = _w(by, ["_run"])
+    stands = runs.withColumn("_strong", F.when((F.col("_n") > noise) | (F.col("_run") == 1), F.col("_key")))
+    last = F.last("_strong", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    opens = F.col("_strong").isNotNull() & (last.isNull() | (F.col("_strong") != last))
+    numbered = stands.withColumn("_opens", opens).withColumn("run_no", F.sum(F.col("_opens").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    out = numbered.groupBy(*by, "run_no").agg(F.min_by(value, "_run").alias(value), F.min("_start").alias(f"start_{at}"), F.max("_end").alias(f"end_{at}"), F.sum("_n").alias("n"))
+    return out
+
+
 def merge_intervals(df: DataFrame, by: list[str], start: str, end: str, window=0) -> DataFrame:
     """One row per island of intervals that start at most `window` after the farthest end so far: by, island, start, end, n."""
     w = _w(by, [start, end])

@@ -541,19 +541,15 @@ def components_overlap(spark, d):
     return N.merge_intervals(i, ["user_id"], "start_us", "end_us").select("user_id", "start_us", "end_us", F.col("n").alias("members"))
 
 
-@query()
+@query(f"""with m as (select *, sum(case when event_type is distinct from p then 1 else 0 end) over (partition by user_id order by us, event_id) r from (select *, lag(event_type) over (partition by user_id order by us, event_id) p from {E})),
+  u as (select user_id, r, min(event_type) event_type, min(us) a, max(us) b, count(*) n from m group by 1, 2), s as (select *, case when n > 1 or r = 1 then event_type end strong from u),
+  l as (select *, last_value(strong ignore nulls) over (partition by user_id order by r rows between unbounded preceding and 1 preceding) before from s),
+  o as (select *, sum(case when strong is not null and strong is distinct from before then 1 else 0 end) over (partition by user_id order by r) run_no from l)
+  select user_id, run_no::int run_no, arg_min(event_type, r) event_type, min(a) start_us, max(b) end_us, sum(n)::bigint n from o group by 1, 2""")
 def run_length_absorb_noise(spark, d):
     """Runs of event types, where runs of one row belong to what stands before them."""
-    import pandas as pd
-
-    from ..operators.segment import absorb_noise_runs, runs_of
-
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "event_id"])
-        runs = absorb_noise_runs(runs_of(list(zip(pdf["us"], pdf["event_type"]))), 1)
-        return pd.DataFrame({"user_id": [key[0]] * len(runs), "run_no": range(1, len(runs) + 1), "event_type": [r[1] for r in runs], "start_us": [r[2] for r in runs], "end_us": [r[3] for r in runs], "n": [r[4] for r in runs]})
-
-    return frames(spark, d).select("user_id", "us", "event_id", "event_type").groupBy("user_id").applyInPandas(fold, "user_id long, run_no int, event_type string, start_us long, end_us long, n long")
+    f = frames(spark, d).select("user_id", "us", "event_id", "event_type")
+    return N.absorbed_runs(f, ["user_id"], "event_type", ["us", "event_id"], "us", 1)
 
 
 @query()
@@ -565,13 +561,19 @@ def dedup_overlap_intervals(spark, d):
     return overlapping_duplicates(spans, ["user_id"], "event_id", "start_us", "end_us", "conf")
 
 
-@query()
+@query(f"""with recursive r as (select user_id, session_no i, start_us / 1e6 a, end_us / 1e6 b from {sessions_sql(6 * HOUR)}), f as (select user_id, session_no j, start_us / 1e6 a, end_us / 1e6 b from {sessions_sql(3 * HOUR)}),
+  p as (select user_id, i, j, r.a, f.a fa, case when greatest(r.b, f.b) > least(r.a, f.a) then greatest(0, least(r.b, f.b) - greatest(r.a, f.a)) / (greatest(r.b, f.b) - least(r.a, f.a)) else 0 end iou from r join f using (user_id) where r.a <= f.b + 10800 and f.a - 10800 <= r.b),
+  q as (select *, row_number() over (partition by user_id order by a, i, iou desc, fa, j) k from p where iou >= 0.30),
+  g as (select user_id, 1 k, i, j, iou, true kept, [i] used_i, [j] used_j from q where k = 1 union all
+    select q.user_id, q.k, q.i, q.j, q.iou, free, case when free then list_append(used_i, q.i) else used_i end, case when free then list_append(used_j, q.j) else used_j end
+    from (select q.*, g.used_i, g.used_j, not list_contains(g.used_i, q.i) and not list_contains(g.used_j, q.j) free from g join q on q.user_id = g.user_id and q.k = g.k + 1) q)
+  select user_id, i r_idx, j f_idx, round(iou, 9) iou, 0.0::double similarity from g where kept""")
 def greedy_iou_match(spark, d):
     from ..operators.matching import greedy_match
 
     f = frames(spark, d)
     side = lambda gap, p: sessions(f, gap).select("user_id", F.col("session_no").alias(f"{p}_idx"), F.lit("").alias(f"{p}_text"), (F.col("start_us") / SEC).alias(f"{p}_start"), (F.col("end_us") / SEC).alias(f"{p}_end"))
-    return greedy_match(side(6 * HOUR, "r"), side(3 * HOUR, "f"), ["user_id"], 3600.0 * 3, fuzzy=False)
+    return greedy_match(side(6 * HOUR, "r"), side(3 * HOUR, "f"), ["user_id"], 3600.0 * 3, fuzzy=False).withColumn("iou", F.round("iou", 9))
 
 
 @query()

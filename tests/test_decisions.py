@@ -195,3 +195,16 @@ def test_reset_of_all_tables(spark, tmp_path):
     assert stores.tables_of(spark, str(tmp_path)) == ["memory", "projects"] == stores.reset_all(spark, str(tmp_path))
     found = spark.read.parquet(f"{tmp_path}/memory")
     assert found.count() == 0 and found.columns == ["k", "v"] and stores.reset_all(spark, f"{tmp_path}/none") == []
+
+
+def test_absorbed_runs_equal_the_fold(spark):
+    from cuelake.operators.segment import absorb_noise_runs, runs_of
+    from cuelake.operators.windows import absorbed_runs
+
+    r = random.Random(7)
+    rows = [(k, i, r.choice(["a", "b ", " b", "c"]) if r.random() < 0.5 else "a") for k in range(6) for i in range(80)] + [(9, 0, None), (9, 1, "a")]
+    df = spark.createDataFrame(rows, "k int, t int, v string")
+    for noise in (0, 1, 2, 5):
+        got = sorted((x.k, x.run_no, x.v or "", x.start_t, x.end_t, x.n) for x in absorbed_runs(df, ["k"], "v", ["t"], "t", noise).collect())
+        want = [(k, n + 1, run[1], run[2], run[3], run[4]) for k in (*range(6), 9) for n, run in enumerate(absorb_noise_runs(runs_of([(t, v or "") for q, t, v in rows if q == k]), noise))]
+        assert got == want
