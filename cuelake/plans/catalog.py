@@ -552,7 +552,12 @@ def run_length_absorb_noise(spark, d):
     return N.absorbed_runs(f, ["user_id"], "event_type", ["us", "event_id"], "us", 1)
 
 
-@query()
+@query(f"""with recursive e as (select user_id, event_id, us s, us + (floor(value * 60) * {10 * SEC})::bigint e, conf from {E}), q as (select *, row_number() over (partition by user_id order by s, e, event_id) k, count(*) over (partition by user_id) n from e),
+  g as (select user_id, k, n, [{{'id': event_id, 's': s, 'e': e, 'w': conf}}] kept from q where k = 1 union all
+    select user_id, k, n, case when hit is null or hit = 0 then list_append(kept, me) when me.w > kept[hit].w then list_concat(list_append(kept[1:hit - 1], me), kept[hit + 1:]) else kept end
+    from (select q.user_id, q.k, q.n, g.kept, {{'id': q.event_id, 's': q.s, 'e': q.e, 'w': q.conf}} me,
+      list_position(list_transform(g.kept, lambda x: least(x.e, q.e) > greatest(x.s, q.s) and least(x.e - x.s, q.e - q.s) > 0 and (least(x.e, q.e) - greatest(x.s, q.s)) / least(x.e - x.s, q.e - q.s) >= 0.80), true) hit from g join q on q.user_id = g.user_id and q.k = g.k + 1))
+  select user_id, u.id event_id, u.s start_us, u.e end_us, u.w conf from (select user_id, unnest(kept) u from g where k = n)""")
 def dedup_overlap_intervals(spark, d):
     from ..operators.matching import overlapping_duplicates
 
