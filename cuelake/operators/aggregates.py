@@ -32,17 +32,38 @@ def largest_box_centre(df: DataFrame, by: list[str], pos: str) -> DataFrame:
     return df.groupBy(*by).agg(best.alias("centre"))
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, **shares: float) -> DataFrame:
+    """by, and one exact quantile for each name=share: between the two nearest values in proportion.  Nulls don't count; a group of
+    nulls has no row.
+
+    Equal values are counted first, on the map side too, and a running sum over the distinct values finds the ranks: a sort that
+    can spill, where the aggregate function would hold all distinct values of a group in memory."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy(*by)
+    ranked = counts.withColumns({"_until": F.sum("_n").over(w.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_n").over(w)})
+    out, picks = [], []
+    for name, share in shares.items():
+        place = F.lit(float(share)) * (F.col("_all") - 1)
+        for end, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            picks.append(F.max(F.when((F.col("_until") - F.col("_n") <= at) & (at < F.col("_until")), F.col("_v"))).alias(f"_{end}_{name}"))
+        place = F.lit(float(share)) * (F.col("_total") - 1)
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        out.append(F.when(F.floor(place) == F.ceil(place), lo.cast("double")).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi).alias(name))
+    return ranked.groupBy(*by).agg(F.max("_all").alias("_total"), *picks).select(*by, *out)
+
+
 def mad_score(df: DataFrame, by: list[str], value: str, floor: float = 1e-6, out: str = "mad_z") -> DataFrame:
-    """|x - median| / (1.4826 * max(MAD, floor)).  Two aggregates joined back, so no group is held in a window."""
-    med = df.groupBy(*by).agg(F.median(value).alias("_med"))
-    dev = df.join(med, by).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
-    mad = dev.groupBy(*by).agg(F.median("_dev").alias("_mad"))
-    return dev.join(mad, by).withColumn(out, F.col("_dev") / (1.4826 * F.greatest(F.col("_mad"), F.lit(floor)))).drop("_med", "_dev", "_mad")
+    """|x - median| / (1.4826 * max(MAD, floor)); null for a null value."""
+    med = quantiles(df, by, value, _med=0.5)
+    dev = df.join(med, by, "left").withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
+    mad = quantiles(dev, by, "_dev", _mad=0.5)
+    return dev.join(mad, by, "left").withColumn(out, F.col("_dev") / (1.4826 * F.greatest(F.col("_mad"), F.lit(floor)))).drop("_med", "_dev", "_mad")
 
 
 def tukey_bounds(df: DataFrame, by: list[str], value: str, k: float = 2.0, least: int = 6) -> DataFrame:
     """low and high per group; without bound for fewer than `least` values."""
-    q = df.groupBy(*by).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"), F.count(value).alias("n"))
+    n = df.groupBy(*by).agg(F.count(value).alias("n"))
+    q = n.join(quantiles(df, by, value, q1=0.25, q3=0.75), by, "left")
     r = F.col("q3") - F.col("q1")
     return q.select(*by, "n", F.when(F.col("n") >= least, F.col("q1") - k * r).alias("low"), F.when(F.col("n") >= least, F.col("q3") + k * r).alias("high"))
 
@@ -160,7 +181,7 @@ def under_translated(pairs: DataFrame, job: list[str], source: str, target: str,
     with fewer than `least_lines` usable lines gives nothing."""
     n, m = F.length(F.trim(source)), F.length(F.trim(target))
     usable = pairs.where((n >= least_chars) & (m > 0)).withColumn("ratio", m / n)
-    stats = usable.groupBy(*job).agg(F.median("ratio").alias("median_ratio"), F.count(F.lit(1)).alias("_n"), F.avg(T.contains_cjk(source).cast("double")).alias("_cjk"))
+    stats = usable.groupBy(*job).agg(F.count(F.lit(1)).alias("_n"), F.avg(T.contains_cjk(source).cast("double")).alias("_cjk")).join(quantiles(usable, job, "ratio", median_ratio=0.5), job)
     limit = F.when(F.col("_cjk") >= cjk_share, cjk_threshold).otherwise(threshold)
     found = usable.join(stats.where(F.col("_n") >= least_lines), job).where(F.col("ratio") < F.col("median_ratio") * limit)
     return found.withColumn("severity", F.col("ratio") / F.col("median_ratio")).drop("_n", "_cjk")

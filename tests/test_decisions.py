@@ -208,3 +208,14 @@ def test_absorbed_runs_equal_the_fold(spark):
         got = sorted((x.k, x.run_no, x.v or "", x.start_t, x.end_t, x.n) for x in absorbed_runs(df, ["k"], "v", ["t"], "t", noise).collect())
         want = [(k, n + 1, run[1], run[2], run[3], run[4]) for k in (*range(6), 9) for n, run in enumerate(absorb_noise_runs(runs_of([(t, v or "") for q, t, v in rows if q == k]), noise))]
         assert got == want
+
+
+def test_quantiles_equal_the_aggregate(spark):
+    r = random.Random(1)
+    rows = [(k, r.choice([None, float(r.randrange(6)), r.random()])) for k in range(5) for _ in range(r.choice([1, 2, 9, 40]))] + [(9, None), (10, 4.0)]
+    df = spark.createDataFrame(rows, "k int, x double")
+    got = {x.k: (x.a, x.b, x.c) for x in A.quantiles(df, ["k"], "x", a=0.5, b=0.25, c=0.9).collect()}
+    want = {x.k: (x.a, x.b, x.c) for x in df.groupBy("k").agg(FL.F.median("x").alias("a"), FL.F.percentile("x", 0.25).alias("b"), FL.F.percentile("x", 0.9).alias("c")).collect()}
+    assert 9 not in got and want.pop(9) == (None, None, None)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in got)
+    assert A.quantiles(df.limit(0), ["k"], "x", a=0.5).count() == 0
