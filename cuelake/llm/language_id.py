@@ -21,6 +21,8 @@ from .common import crc_fold, cut, only, small_side
 FOLD, HELD_OUT = 4, 2
 #: Documents that the network is fitted on at most (but ten of each language).
 SAMPLE_ROWS = 3_000
+#: Parts of a language that its first documents are looked for in, so that no task gets all of a language.
+SAMPLE_PARTS = 16
 HIDDEN = 8
 WINDOW, CONTEXT = 224, 16
 STEPS, BATCH, TRAIN_BYTES = 260, 128, 48
@@ -222,9 +224,10 @@ def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, s
     own = only(docs, doc_id="long", text="string", lang="string").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc_id"), FOLD) != HELD_OUT))
     key = own.select("lang", F.xxhash64(F.lit(9), "doc_id").alias("k"), "doc_id", F.xxhash64("text").alias("h"), "text")
     each = max(10, rows // max(1, own.select("lang").distinct().count()))
-    # the rows are chosen without their texts; each task keeps the first `each` of a language before the shuffle
-    place = F.row_number().over(W.partitionBy("lang").orderBy("k", "doc_id", "h"))
-    chosen = key.select("lang", "k", "doc_id", "h").withColumn("r", place).where(F.col("r") <= each)
+    # the rows are chosen without their texts: the first `each` of every part of a language, and of those the first `each`
+    place = lambda *by: F.row_number().over(W.partitionBy("lang", *by).orderBy("k", "doc_id", "h"))
+    parts = key.select("lang", "k", "doc_id", "h", F.pmod(F.col("k"), F.lit(SAMPLE_PARTS)).alias("part"))
+    chosen = parts.withColumn("r", place("part")).where(F.col("r") <= each).withColumn("r", place()).where(F.col("r") <= each)
     chosen = cut(chosen.groupBy("lang", "doc_id", "h").agg(F.min("r").alias("r")), "chosen")  # a repeated row counts once
     found = key.select("lang", "doc_id", "h", "text").join(small_side(chosen), ["lang", "doc_id", "h"])
     found = found.groupBy("lang", "r").agg(F.first("text").alias("text")).collect()
