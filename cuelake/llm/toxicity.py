@@ -94,7 +94,7 @@ class Occurrences:
 class Lexicon:
     """Words and word beginnings with the log odds of label 1 where they occur, from the texts marked in `use`."""
 
-    def __init__(self, found: Occurrences, use: np.ndarray, odds: float = 2.0):
+    def __init__(self, found: Occurrences, use: np.ndarray, odds: float = 2.8):
         marks = lambda pairs: self._marks(*pairs, found.label, use, found.least, odds)
         self.word = marks(found.word)
         self.prefix = {n: marks(pairs) for n, pairs in found.prefix.items()}
@@ -173,7 +173,7 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndar
 class Boosted:
     """Gradient-boosted trees for logistic loss, on features cut into quantile bins."""
 
-    def __init__(self, x, y, weight, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, ridge: float = 1.0):
+    def __init__(self, x, y, weight, trees: int = 30, depth: int = 2, rate: float = 0.1, bins: int = 32, ridge: float = 1.0):
         self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
         binned = self._bin(x)
         p = np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3)
