@@ -201,11 +201,16 @@ def roster_overlap(a, b):
     return F.when(n > 0, F.size(F.array_intersect(a, b)) / n).otherwise(0.0)
 
 
-def gated_level(df: DataFrame, by: list[str], level: str, absolute: float, relative: float) -> DataFrame:
-    """Two-pass gated mean: over the absolute gate, then over that mean less `relative`."""
-    first = df.where(F.col(level) > absolute)
-    mean = first.groupBy(*by).agg(F.avg(level).alias("_m"))
-    return first.join(mean, by).where(F.col(level) > F.col("_m") - relative).groupBy(*by).agg(F.avg(level).alias("level"))
+def gated_level(df: DataFrame, by: list[str], level: str, absolute: float, relative: float, order: list[str]) -> DataFrame:
+    """Two-pass gated mean: over the absolute gate, then over that mean less `relative`.
+
+    Both means are summed in the order of `order`, a key of the rows: a mean on the gate, or halfway between two
+    rounded values, is then the same however the rows are dealt."""
+    w = W.partitionBy(*by).orderBy(*order)
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    first = df.where(F.col(level) > absolute).dropna(subset=by).select(*by, *order, level).withColumn("_m", F.avg(level).over(whole))
+    second = first.where(F.col(level) > F.col("_m") - relative)
+    return second.select(*by, F.avg(level).over(whole).alias("level"), F.row_number().over(w).alias("_r")).where("_r = 1").drop("_r")
 
 
 def gated_loudness(samples: DataFrame, by: list[str], place: str, value: str, rate: float, block_ms: float = 400.0, absolute: float = -70.0, relative: float = -10.0) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries read all of their input: whole texts, every row, every size."""
 
+import datetime
 import random
 from collections import Counter
 
@@ -116,3 +117,28 @@ def test_consensus_and_cleanup_hand_back_whole_texts(spark, tmp_path):
     assert {r.text for r in QUERIES["rover_consensus"](spark, d).where("conv_id = 1").collect()} == {head + "alpha bravo"}
     texts = {r.text for r in QUERIES["flicker_cleanup"](spark, d).where("video_id = '2'").collect()}
     assert texts == {t[3].strip() for t in turns[2:]} or texts == {t[3] for t in turns[2:]}
+
+
+def test_gated_level_does_not_depend_on_how_rows_are_dealt(spark, tmp_path):
+    """Means of 64 hundredths are often halfway between two roundings: the order of the sum tells which."""
+    r = random.Random(3)
+    value = {u: [round(5.01 + r.expovariate(0.02), 2) for _ in range(64)] for u in range(300)}
+    for v in value.values():
+        for i in range(0, 64, 2):
+            v[i], v[i + 1] = v[i] + 40, round(v[i] + 30, 2)
+    now = datetime.datetime(2024, 1, 1)
+    rows = [(i * 300 + u, now, u, "view", x) for u, v in value.items() for i, x in enumerate(v)]
+    r.shuffle(rows)
+    d = tables(spark, tmp_path, events=(rows, "event_id long, ts timestamp, user_id long, event_type string, value double"))
+
+    def mean(xs):
+        total = 0.0
+        for x in xs:
+            total += x
+        return total / len(xs)
+
+    want = {}
+    for u, v in value.items():
+        gate = mean(v) - 10
+        want[u] = int(mean([x for x in v if x > gate]) * 1e6 + 0.5) / 1e6
+    assert {x.user_id: x.level for x in QUERIES["gated_level"](spark, d).collect()} == want
