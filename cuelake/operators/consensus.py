@@ -67,13 +67,22 @@ def restore_dropped(text: str, readings: list[tuple[str, float]]) -> str:
     equals) is looked at: LOST needs ENOUGH_LOST, others ENOUGH_OTHER (strong
     readings, or fair ones).  Nothing comes back that would make a longer run of
     one character than the text has."""
-    evidence: dict[tuple[int, str], list[int]] = {}
+    longer: dict[str, list[int]] = {}
     for reading, conf in readings:
-        added = _with_one_more(text, reading)
-        if added:
-            seen = evidence.setdefault(added, [0, 0])
-            seen[0] += conf >= STRONG
-            seen[1] += FAIR <= conf < STRONG
+        if len(reading) == len(text) + 1:
+            _count_trust(longer, reading, conf)
+    return _restored(text, longer)
+
+
+def _count_trust(seen: dict[str, list[int]], reading: str, conf: float) -> None:
+    trust = seen.setdefault(reading, [0, 0])
+    trust[0] += conf >= STRONG
+    trust[1] += FAIR <= conf < STRONG
+
+
+def _restored(text: str, longer: dict[str, list[int]]) -> str:
+    """restore_dropped by how often each reading of one character more is strong and fair."""
+    evidence = {added: trust for reading, trust in longer.items() if (added := _with_one_more(text, reading))}
     if not evidence:
         return text
     (at, char), (strong, fair) = max(evidence.items(), key=lambda e: 2 * e[1][0] + e[1][1])
@@ -141,3 +150,31 @@ def vote(readings: list[tuple[str, float]]) -> str:
         if i < len(base):
             out.append(_first_best(here[i])[0])
     return tidy(restore_spaces(restore_dropped("".join(out), readings), readings))
+
+
+class Votes:
+    """vote() of readings that come one by one: while one of them has the majority, a step costs what that text costs, not all readings."""
+
+    def __init__(self, *readings: tuple[str, float]):
+        self.readings: list[tuple[str, float]] = []
+        self.counts: dict[str, list[int]] = {}  # how often, and its place among the distinct ones
+        self.by_length: dict[int, dict[str, list[int]]] = {}
+        self.top = ""
+        for r in readings:
+            self.add(*r)
+
+    def add(self, text: str, conf: float) -> None:
+        if not text.strip():
+            return
+        self.readings.append((text, conf))
+        own = self.counts.setdefault(text, [0, len(self.counts)])
+        own[0] += 1
+        _count_trust(self.by_length.setdefault(len(text), {}), text, conf)
+        if not self.top or (own[0], -own[1]) > (self.counts[self.top][0], -self.counts[self.top][1]):
+            self.top = text
+
+    def text(self) -> str:
+        n = len(self.readings)
+        if n and (n == 1 or self.counts[self.top][0] / n >= MAJORITY):
+            return tidy(_restored(self.top, self.by_length.get(len(self.top) + 1, {})))
+        return vote(self.readings)

@@ -1,7 +1,7 @@
 """From frames to cues: folds in which each step sees what the last one changed.
 
-Windows cannot express them, so they run in one grouped pass.  The group isn't
-the video but a piece of it: videos are cut where nothing happens for longer
+Windows cannot express them, so they run in one pass over sorted rows, which costs
+no start per group.  The group isn't the video but a piece of it: videos are cut where nothing happens for longer
 than any rule looks (the gap rules reach twice the merge gap, the flash rule four
 seconds), so one long video is many tasks.
 """
@@ -9,9 +9,11 @@ seconds), so one long video is many tasks.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,9 +21,11 @@ from pyspark.sql import functions as F
 from ..config import LIBRARY, CueParams
 from ..functions.similarity import _CJK, builder_similarity, effective_similarity, indel_ratio, path_similarity
 from ..schemas import CUE
-from .consensus import mostly_cjk, vote
+from .consensus import Votes, mostly_cjk, vote
 
 REPEAT_GAP, STABLE = 0.35, 0.30
+#: Cues of one output batch.
+CUES_OUT = 5_000
 Y_FREE, Y_COST = 50.0, 0.01
 _EDGE_SIGNS = re.compile(r"^[\s，。！？、；：“”‘’（）《》【】…—·,.!?;:\"'()\[\]~-]+|[\s，。！？、；：“”‘’（）《》【】…—·,.!?;:\"'()\[\]~-]+$")
 
@@ -63,7 +67,7 @@ def _open(f: Frame) -> Cue:
 def group_greedy(frames: list[Frame], p: CueParams) -> list[Cue]:
     """Joins each frame to the current group or opens a new one; the group's text is voted anew after each join."""
     out: list[Cue] = []
-    readings: list[tuple[str, float]] = []
+    votes = Votes()
     for f in frames:
         g = out[-1] if out else None
         gap = f.t - g.end if g else 0.0
@@ -77,12 +81,12 @@ def group_greedy(frames: list[Frame], p: CueParams) -> list[Cue]:
             joins = effective_similarity(g.text, f.text, g.conf, f.conf, gap) >= need
         if not joins:
             out.append(_open(f))
-            readings = [(f.text, f.conf)]
+            votes = Votes((f.text, f.conf))
             continue
-        readings.append((f.text, f.conf))
+        votes.add(f.text, f.conf)
         g.end, g.weight, g.frames = f.t, g.weight + f.conf, g.frames + 1
         g.members.append((f.t, f.text))
-        g.text = vote(readings)
+        g.text = votes.text()
     return out
 
 
@@ -247,11 +251,13 @@ def split_variants(groups: list[Cue], least_frames: int = 6) -> list[Cue]:
 
 def extend_into_dropped(groups: list[Cue], dropped: list[float], p: CueParams) -> list[Cue]:
     """Groups grow to frames that a filter dropped half to one and a half steps beyond them, never into a neighbour."""
+    dropped = sorted(dropped)
     for i, g in enumerate(groups):
         lo = groups[i - 1].end if i else float("-inf")
         hi = groups[i + 1].start if i + 1 < len(groups) else float("inf")
-        before = [t for t in dropped if 0.5 * p.step <= g.start - t <= 1.5 * p.step and t > lo]
-        after = [t for t in dropped if 0.5 * p.step <= t - g.end <= 1.5 * p.step and t < hi]
+        near = lambda a, b: dropped[bisect_left(dropped, a) : bisect_right(dropped, b)]
+        before = [t for t in near(g.start - 2 * p.step, g.start) if 0.5 * p.step <= g.start - t <= 1.5 * p.step and t > lo]
+        after = [t for t in near(g.end, g.end + 2 * p.step) if 0.5 * p.step <= t - g.end <= 1.5 * p.step and t < hi]
         g.start, g.end = min([g.start, *before]), max([g.end, *after])
     return groups
 
@@ -388,6 +394,42 @@ def build(frames: list[Frame], p: CueParams) -> list[Cue]:
     return drop_echoes(merge_repeats(absorb_flickers(to_cues(groups, p), p), p), p)
 
 
+def _cues_of_pieces(params: CueParams):
+    def pieces(batches):
+        """(video_id, frames) of each piece, from rows sorted by piece; a piece may go on over several batches."""
+        open_key, own = None, []
+        for batch in batches:
+            video, piece, *columns = (c.to_pylist() for c in batch.columns)
+            rows = list(map(Frame, *columns))
+            first = 0
+            for i, key in enumerate(zip(video, piece)):
+                if key != open_key:
+                    own += rows[first:i]
+                    if own:
+                        yield open_key[0], own
+                    open_key, own, first = key, [], i
+            own += rows[first:]
+        if own:
+            yield open_key[0], own
+
+    def run(batches):
+        out: list[tuple] = []
+        for video, own in pieces(batches):
+            out += [(video, i, c.text, c.start, c.end, min(1.0, max(0.0, c.conf)), c.frames) for i, c in enumerate(build(own, params), 1)]
+            if len(out) >= CUES_OUT:
+                yield _cue_batch(out)
+                out = []
+        if out:
+            yield _cue_batch(out)
+
+    return run
+
+
+def _cue_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["video_id", "idx", "text", "start_sec", "end_sec", "confidence", "frame_count"])
+
+
 FRAME = "video_id string, timestamp_sec double, text string, confidence double, y double"
 
 
@@ -404,15 +446,11 @@ def build_cues(frames: DataFrame, params: CueParams = LIBRARY) -> DataFrame:
     opens = f.withColumn("_new", F.when(prev.isNull() | (F.col("timestamp_sec") - prev > quiet), 1).otherwise(0))
     pieces = opens.withColumn("piece", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["timestamp_sec", "text"], kind="stable")
-        own = [Frame(*r) for r in pdf[["timestamp_sec", "text", "confidence", "y"]].itertuples(index=False)]
-        cues = build(own, params)
-        return pd.DataFrame(
-            {"video_id": [key[0]] * len(cues), "idx": range(1, len(cues) + 1), "text": [c.text for c in cues], "start_sec": [c.start for c in cues], "end_sec": [c.end for c in cues], "confidence": [min(1.0, max(0.0, c.conf)) for c in cues], "frame_count": [c.frames for c in cues]}
-        )
-
-    cues = pieces.groupBy("video_id", "piece").applyInPandas(fold, CUE)
+    spark = frames.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = pieces.select("video_id", "piece", "timestamp_sec", "text", "confidence", "y")
+    dealt = own.repartition(tasks, "video_id", "piece").sortWithinPartitions("video_id", "piece", "timestamp_sec", "text", F.desc("confidence"), "y")
+    cues = dealt.mapInArrow(_cues_of_pieces(params), CUE)
     return cues.withColumn("idx", F.row_number().over(W.partitionBy("video_id").orderBy("start_sec", "end_sec", "text")))
 
 

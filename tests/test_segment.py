@@ -3,7 +3,7 @@ import pytest
 from cuelake.config import CueParams
 from cuelake.functions import similarity as S
 from cuelake.operators import segment as G
-from cuelake.operators.consensus import anchor, vote
+from cuelake.operators.consensus import Votes, anchor, vote
 
 P = CueParams(similarity=0.85, least_duration=0.0, merge_gap=0.5)
 
@@ -159,3 +159,42 @@ def test_frames_to_cues_is_independent_of_partitions(spark):
     assert a == b and len(a) > 3
     whole = G.build([G.Frame(*r[1:]) for r in rows if r[0] == "v0"], CueParams())
     assert [(c.text, c.start, c.end) for c in whole] == [(r[2], r[3], r[4]) for r in a if r[0] == "v0"]
+
+
+def test_votes_one_by_one():
+    """The same text after each reading as from all readings so far."""
+    import random
+
+    r = random.Random(5)
+    texts = ["你好", "好", "一你好", "你一好", "你好吗", "abc", "abcd", " abc", "ab c", "", " "]
+    for _ in range(500):
+        readings = [(r.choice(texts[: r.randint(1, len(texts))]), r.choice([0.5, 0.86, 0.93])) for _ in range(r.randrange(12))]
+        votes = Votes()
+        for n, reading in enumerate(readings, 1):
+            votes.add(*reading)
+            assert votes.text() == vote(readings[:n])
+
+
+def test_dropped_frames_beside_groups():
+    dropped = [0.84, 0.91, 0.95, 1.5, 2.04, 2.1, 2.16]
+    out = G.extend_into_dropped([cue("a", 1.0, 2.0), cue("b", 9.0, 9.5)], dropped, P)
+    assert [(c.start, c.end) for c in out] == [(0.91, 2.1), (9.0, 9.5)]
+
+
+def test_many_pieces_are_one_pass(spark):
+    """Thousands of short pieces cost no group of their own, and one may go on over several Arrow batches."""
+    rows = [(f"v{v}", 20.0 * k + 0.1 * i, f"line {k % 3} of text", 0.9, 0.0) for v in range(40) for k in range(25) for i in range(1 + (v + k) % 4)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        df = G.build_cues(spark.createDataFrame(rows, G.FRAME))
+        assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.video_id, r.idx, r.text, r.start_sec, r.end_sec, r.frame_count) for r in df.collect())
+    finally:
+        spark.conf.set(key, before)
+    want = []
+    for v in range(40):
+        cues = G.build([G.Frame(*r[1:]) for r in rows if r[0] == f"v{v}"], CueParams())
+        want += [(f"v{v}", i, c.text, c.start, c.end, c.frames) for i, c in enumerate(cues, 1)]
+    assert got == sorted(want) and len(got) == 1000
