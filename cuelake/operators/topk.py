@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +15,8 @@ from ..functions.similarity import token_set_ratios
 
 #: Rows of one block of queries and of memory, and the most queries that are broadcast.
 QUERY_BLOCK, MEMORY_BLOCK, BROADCAST_QUERIES = 200, 256, 50_000
+#: The same for vectors, and how many pairs are scored anew at once.
+QUERY_VECTORS, MEMORY_VECTORS, SCORED_AT_ONCE = 512, 1024, 1 << 15
 
 
 def top_k(pairs: DataFrame, query: list[str], score: str, tie: list[str], k: int, least: float | None = None) -> DataFrame:
@@ -52,16 +56,16 @@ def _best_of_blocks(query_text: str, memory_text: str, k: int, least: float | No
     return run
 
 
-def _block_pairs(queries: DataFrame, memory: DataFrame):
+def _block_pairs(queries: DataFrame, memory: DataFrame, query_block: int = QUERY_BLOCK, memory_block: int = MEMORY_BLOCK):
     """Blocks of queries (the small side) beside blocks of memory rows, as structs q and m; and the type of a query."""
     spark = queries.sparkSession
     kind = lambda df: df.select(F.struct("*").alias("x")).schema["x"].dataType
     rows = lambda df, name, n: df.select(F.struct("*").alias(name)).mapInArrow(_blocks(n), StructType([StructField(name, ArrayType(kind(df)))]))
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = rows(queries, "q", QUERY_BLOCK)
+    asked = rows(queries, "q", query_block)
     if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
         asked = F.broadcast(asked)
-    return rows(memory, "m", MEMORY_BLOCK).repartition(tasks).join(asked), kind(queries)
+    return rows(memory, "m", memory_block).repartition(tasks).join(asked), kind(queries)
 
 
 def fuzzy_top_k(queries: DataFrame, memory: DataFrame, query_text: str, memory_text: str, query: list[str], tie: list[str], k: int = 3, least: float = 70.0) -> DataFrame:
@@ -126,6 +130,105 @@ def gram_overlaps(queries: DataFrame, memory: DataFrame, query: str, row: str, t
     return ranked.where("r = 1").drop("r")
 
 
+def _vectors(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of numbers as the rows of a matrix, filled up with zeros, and their lengths.  A null list or number is NaN."""
+    size = np.asarray(lists.value_lengths().fill_null(-1))
+    out = np.zeros((len(size), max(1, size.max(initial=0))))
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out[np.arange(out.shape[1]) < size[:, None]] = flat
+    out[size < 0] = np.nan
+    return out, size
+
+
+def _in_turn(x: np.ndarray) -> np.ndarray:
+    """Row sums, added from left to right as functions.text.cosine adds."""
+    return np.cumsum(x, axis=1)[:, -1]
+
+
+def _of_equals(rows: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the rows of the `most` smallest ids among bitwise equal rows; ids ascend."""
+    bits = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel()
+    _, copy = np.unique(bits, return_inverse=True)
+    order = np.argsort(copy, kind="stable")
+    copy, ids = copy[order], ids[order]
+    other = np.cumsum(np.r_[True, (copy[1:] != copy[:-1]) | (ids[1:] != ids[:-1])])
+    return np.sort(order[other - other[np.searchsorted(copy, copy, "left")] < most])
+
+
+def _bounded(score: np.ndarray, odd: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What functions.text.cosine makes of quotients: within 0 and 1, no number is 1, no length is 0."""
+    score = np.where(np.isnan(score) | odd, 1.0, np.clip(score, 0.0, 1.0))
+    return np.where((a < 1e-8) | (b < 1e-8), 0.0, score)
+
+
+def _nearest_of_blocks(query: str, row: str, vector: str, k: int, band: float):
+    def best(found):
+        """Of pairs (query, row, score): per query those that may be among its k best, of equal scores the k smallest rows; and the k-th score."""
+        q, ids, score = found
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        opens = np.r_[True, (q[1:] != q[:-1]) | (score[1:] != score[:-1])]
+        place = np.arange(len(q)) - np.maximum.accumulate(np.where(opens, np.arange(len(q)), 0))
+        q, ids, score = (x[place < k] for x in (q, ids, score))
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        size = np.diff(np.r_[first, len(q)])
+        last = np.where(size >= k, score[np.minimum(first + k - 1, len(q) - 1)], -1.0)
+        stays = score >= np.repeat(last, size) - band
+        return (q[stays], ids[stays], score[stays]), q[first], last
+
+    def run(batches):
+        """Of all pairs of blocks (q, m) of a task: per query the k best rows and all within `band` of the last of them.
+
+        A matrix product tells which pairs may be; they alone are scored as functions.text.cosine does."""
+        held: dict[bytes, list] = {}
+        for batch in batches:
+            for at in range(len(batch)):
+                q, m = batch.column("q")[at].values, batch.column("m")[at].values
+                asked, known = np.asarray(q.field(query)), np.asarray(m.field(row))
+                a, a_size = _vectors(q.field(vector))
+                b, b_size = _vectors(m.field(vector))
+                by_id = np.argsort(known, kind="stable")
+                kept = by_id[_of_equals(np.column_stack([b_size, b])[by_id], known[by_id], k + 1)]  # one of the k + 1 may be the query
+                known, b, b_size = known[kept], b[kept], b_size[kept]
+                wide = max(a.shape[1], b.shape[1])
+                a, b = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (a, b))
+                with np.errstate(all="ignore"):
+                    la, lb = np.sqrt(_in_turn(a * a)), np.sqrt(_in_turn(b * b))
+                    raw = (a / la[:, None]) @ (b / lb[:, None]).T
+                    odd = a_size[:, None] != b_size
+                    near = _bounded(raw, odd, la[:, None], lb)
+                    other = asked[:, None] != known
+                    near[~other] = -1.0
+                    kth = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] >= k else np.full(len(asked), -1.0)
+                    before = held.setdefault(blake2b(asked.tobytes() + a.tobytes(), digest_size=16).digest(), [asked, (np.zeros(0, np.int64), np.zeros(0, known.dtype), np.zeros(0)), np.full(len(asked), -1.0)])
+                    chosen = other & (near >= np.maximum(kth, before[2])[:, None] - band - 1e-9)
+                    null = chosen & ~odd & (raw < -1e-9) & (la[:, None] >= 1e-8) & (lb >= 1e-8)
+                    chosen &= ~null | (np.cumsum(null, axis=1) <= k)  # what is 0 for certain: the k smallest rows
+                    i, j = np.nonzero(chosen)
+                    score = np.zeros(len(i))
+                    for s in range(0, len(i), SCORED_AT_ONCE):
+                        x, y = i[s : s + SCORED_AT_ONCE], j[s : s + SCORED_AT_ONCE]
+                        score[s : s + SCORED_AT_ONCE] = _bounded(_in_turn(a[x] * b[y]) / (la[x] * lb[y]), odd[x, y], la[x], lb[y])
+                if len(i):
+                    before[1], whose, last = best([np.concatenate(c) for c in zip(before[1], (i, known[j], score))])
+                    before[2][whose] = last
+        for asked, (i, ids, score), _ in held.values():
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(ids), pa.array(score)], names=[query, row, "score"])
+
+    return run
+
+
+def cosine_candidates(queries: DataFrame, memory: DataFrame, query: str, row: str, vector: str, k: int, digits: int) -> DataFrame:
+    """(query, row, score): for each query the rows of another id that can be among the k of the highest functions.text.cosine
+    rounded to `digits`, with that cosine, unrounded.  Ids are integers; of equal scores the smaller row comes first.
+
+    Every pair of vectors is compared, in blocks; only what can be among the best of a task goes on."""
+    some = lambda df, key: df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), vector)
+    pairs, _ = _block_pairs(some(queries, query), some(memory, row), QUERY_VECTORS, MEMORY_VECTORS)
+    return pairs.mapInArrow(_nearest_of_blocks(query, row, vector, k, 1.1 * 10.0**-digits), f"{query} long, {row} long, score double")
+
+
 def evenly_spaced(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     """n rows of each group at even distances, the first and the last among them."""
     w = W.partitionBy(*by)

@@ -420,11 +420,10 @@ _COS = "round(list_dot_product(q.embedding::double[], v.embedding::double[]) / (
 @query(f"""select query_id, vec_id, score, rank from (select q.vec_id query_id, v.vec_id, greatest(0, least(1, {_COS})) score, row_number() over (partition by q.vec_id order by greatest(0, least(1, {_COS})) desc, v.vec_id) rank
   from embeddings q, embeddings v where q.vec_id % 50 = 0 and q.vec_id <> v.vec_id) where rank <= 3""")
 def topk_retrieval_semantic(spark, d):
-    """Queries are the rows whose id is divisible by 50, against all rows: the queries are the small, broadcast side."""
+    """Queries are the rows whose id is divisible by 50, against all rows."""
     v = read(spark, d, "embeddings").select("vec_id", "embedding")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    q = F.broadcast(q) if q.limit(200_001).count() <= 200_000 else q
-    pairs = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(T.cosine("q", "embedding"), 6).alias("score"))
+    q = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    pairs = K.cosine_candidates(q, v, "query_id", "vec_id", "embedding", 3, 6).withColumn("score", F.round("score", 6))
     return K.top_k(pairs, ["query_id"], "score", ["vec_id"], 3)
 
 

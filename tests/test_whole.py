@@ -5,7 +5,9 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from cuelake.functions import text as T
 from cuelake.functions.similarity import edit_operations, token_set_ratio, token_set_ratios
 from cuelake.operators import spatial as SP
 from cuelake.operators import topk as K
@@ -142,3 +144,38 @@ def test_gated_level_does_not_depend_on_how_rows_are_dealt(spark, tmp_path):
         gate = mean(v) - 10
         want[u] = int(mean([x for x in v if x > gate]) * 1e6 + 0.5) / 1e6
     assert {x.user_id: x.level for x in QUERIES["gated_level"](spark, d).collect()} == want
+
+
+def best_by_every_pair(queries, memory, k):
+    pairs = memory.join(queries, F.col("id") != F.col("q")).select("q", "id", F.round(T.cosine("x", "v"), 6).alias("score"))
+    return sorted(map(str, K.top_k(pairs, ["q"], "score", ["id"], k).collect()))
+
+
+def test_cosines_by_blocks_equal_every_pair(spark):
+    """Copies, near copies, opposites, vectors without length, null, no number, of another length, and an id twice; in many small blocks and in one."""
+    r = np.random.default_rng(2)
+    base = r.normal(size=(12, 5)).astype(np.float32)
+    rows = [(i, [float(x) for x in base[i % 12] * (-1 if i % 7 == 3 else 1) * (1 + (i % 3)) + (1e-7 * i if i % 5 == 0 else 0)]) for i in range(300)]
+    odd = [None, [0.0] * 5, [float("nan")] * 5, [1.0, 2.0], [], [1.0, None, 0.0, 0.0, 0.0], [float("inf"), 0.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0, 0.0], [-1.0, 0.0, 0.0, 0.0, 0.0]]
+    rows += [(300 + i, v) for i, v in enumerate(odd)] + [(20, rows[20][1])] * 5 + [(None, rows[1][1])]
+    for part, k in ((rows, 3), (rows[:2], 3), ([(i, [-1.0, 0.0] if i else [1.0, 0.0]) for i in range(40)], 2), ([(i, [0.5, 0.5]) for i in range(40)], 4)):
+        memory = spark.createDataFrame(part, "id long, v array<float>").repartition(5).cache()
+        queries = memory.where("id % 10 = 0 or id >= 300").select(F.col("id").alias("q"), F.col("v").alias("x"))
+        want = best_by_every_pair(queries, memory, k)
+        for size in (7, 1024):
+            sizes, (K.QUERY_VECTORS, K.MEMORY_VECTORS) = (K.QUERY_VECTORS, K.MEMORY_VECTORS), (size, size)
+            try:
+                found = K.cosine_candidates(queries.withColumnRenamed("x", "v"), memory, "q", "id", "v", k, 6)
+            finally:
+                K.QUERY_VECTORS, K.MEMORY_VECTORS = sizes
+            got = K.top_k(found.withColumn("score", F.round("score", 6)), ["q"], "score", ["id"], k)
+            assert sorted(map(str, got.collect())) == want
+
+
+def test_topk_retrieval_semantic_makes_no_row_of_each_pair(spark, tmp_path):
+    """Blocks of vectors meet, and of 2,000 equal vectors each query keeps three a task."""
+    d = tables(spark, tmp_path, embeddings=([(i, [1.0, float(i % 2)]) for i in range(4000)], "vec_id long, embedding array<float>"))
+    found = QUERIES["topk_retrieval_semantic"](spark, d)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.query_id, r.vec_id, r.score, r["rank"]) for r in found.collect()}
+    assert got == {(q, v, 1.0, n) for q in range(0, 4000, 50) for n, v in enumerate([x for x in (0, 2, 4, 6) if x != q][:3], 1)}
