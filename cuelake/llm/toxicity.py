@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import crc_fold, labelled_sample, only
+from .common import crc_fold, fitted, labelled_rows, only
 
 #: Labelled rows of each label that the model is fitted on at most.
 SAMPLE_EACH = 3_000
@@ -281,6 +281,10 @@ class Model:
         return np.clip(np.interp(self.trees.raw(features(data, offsets, self.lexicon)), *self.knots), 0, 1)
 
 
+def _model(docs: DataFrame, labels: DataFrame, each: int) -> Model:
+    return fitted(*labelled_rows(docs, labels, "toxic", FOLD, HELD_OUT, each), Model)
+
+
 def _scores(model: Model):
     def run(batches):
         for batch in batches:
@@ -301,14 +305,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> Dat
     kinds the score is label 1's share, or 0 without any.  held_out is null for a
     null doc_id.  Repeated rows are scored alike; extra columns are ignored.
     """
-    model = Model(*labelled_sample(docs, labels, "toxic", FOLD, HELD_OUT, each))
+    model = _model(docs, labels, each)
     rows = only(docs, doc_id="long", text="string").withColumn("held_out", crc_fold(F.col("doc_id"), FOLD) == HELD_OUT)
     return rows.mapInArrow(_scores(model), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH, at: float = PREDICT_AT) -> DataFrame:
     """The rows of docs that score below `at`, whole, in one pass without a shuffle."""
-    model = Model(*labelled_sample(docs, labels, "toxic", FOLD, HELD_OUT, each))
+    model = _model(docs, labels, each)
 
     def keep(batches):
         for batch in batches:

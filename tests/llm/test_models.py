@@ -7,7 +7,7 @@ import pyarrow as pa
 
 from cuelake.llm import language_id, quality_knn, toxicity
 from cuelake.llm import textkernel as tk
-from cuelake.llm.common import labelled_sample, with_package_path
+from cuelake.llm.common import fitted, give_back, labelled_rows, labelled_sample, with_package_path
 
 
 def texts(n, seed):
@@ -119,3 +119,38 @@ def test_samples_are_bounded_by_documents(spark):
     assert len(got) == 6 and sum(counts.values()) == 100
     found = language_id.training_rows(docs)
     assert [len(t) for t, lang in found if lang == "de"] == [10000]
+
+
+def test_toxicity_is_fitted_outside_the_driver(spark, monkeypatch):
+    """The driver gets the fitted model, not the sample's texts; its answers are those of a model fitted on the sample in the driver."""
+    with_package_path(spark)
+    r, marked = random.Random(9), []
+    for i in range(400):
+        words = [f"w{r.randrange(500)}" for _ in range(30)]
+        for mark in ("wretch", "vile") if i % 4 == 0 else ():
+            words.insert(r.randrange(30), mark)
+        marked.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in marked], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, y) for i, _, y in marked], "doc_id long, toxic int")
+    plain = toxicity.Model(*labelled_sample(docs, labels, "toxic", 4, 2, 100))
+    want = {i for i, t, _ in marked for _, _, d, o in slices([t]) if plain.score(d, o)[0] < toxicity.PREDICT_AT}
+
+    def refuse(*_):
+        raise AssertionError("fitted in the driver")
+
+    monkeypatch.setattr(toxicity.Model, "__init__", refuse)
+    monkeypatch.setattr(type(docs), "toArrow", refuse)
+    assert {r.doc_id for r in toxicity.drop_toxic(docs, labels, each=100).collect()} == want and 0 < len(want) < 400
+    assert {r.doc_id for r in toxicity.toxicity(docs, labels, each=100).collect() if not r.predicted} == want
+
+
+def test_fitted_without_labelled_rows(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert fitted(*labelled_rows(docs, none, "toxic", 4, 2, 10), lambda rows, counts: (rows, counts)) == ([], {})
+
+
+def test_freed_native_memory_is_given_back(spark):
+    version = spark._jvm.java.lang.Runtime.version()
+    if version.feature() == 17 and version.update() >= 9:
+        assert give_back(spark)
